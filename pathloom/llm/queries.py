@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import bpe, dac
+from pathloom.llm import bpe, dac, decontam, langid, toxicity
 from pathloom.llm.common import table
 
 
@@ -21,14 +21,30 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), _word_bpe())
 
 
+def op3_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find all benchmark windows in every document."""
+    found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.digest(found)
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write and read back the ids of every document, end id 1."""
     return dac.write_and_digest(table(spark, sf_dir, "documents"), _word_bpe(), end_id=1)
 
 
+def op5_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document by its nearest labelled examples."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict the language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {f.__name__: f for f in (op2_bpe_round_trip, op4_token_file)}
+    return {f.__name__: f for f in (op2_bpe_round_trip, op3_suffix_array_decontamination, op4_token_file, op5_toxicity_neighbours, op9_language_cross_parsing)}
 
 
 def oracle_sql() -> dict[str, str]:
