@@ -39,7 +39,7 @@ class TreeEncoder:
     cache_words: distinct words whose ids are remembered in each of two generations.
     """
 
-    def __init__(self, path: str, leaf_chars: int = 32768, cache_words: int = 500_000):
+    def __init__(self, path: str, leaf_chars: int = 32768, cache_words: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -77,16 +77,9 @@ class TreeEncoder:
         spans = np.asarray(e.offsets, np.int64).reshape(-1, 2)
         return np.asarray(e.ids, np.int64), spans[:, 0], spans[:, 1]
 
-    def cuts(self, length: int) -> list[int]:
-        """Bounds of the leaves of a text: halves of halves."""
-        parts = 1
-        while length / parts > self.leaf_chars:
-            parts *= 2
-        return [length * i // parts for i in range(parts + 1)]
-
     def tree(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Encode the leaves of a text in parallel threads, then join them pairwise."""
-        at = self.cuts(len(text))
+        at = cuts(self.leaf_chars, len(text))
         with ThreadPoolExecutor(2) as pool:
             leaves = list(pool.map(lambda k: self.leaf(text[at[k] : at[k + 1]]), range(len(at) - 1)))
         return self.join_all(text, at, leaves)
@@ -175,6 +168,14 @@ _BYTE_CHARS = _byte_chars()
 _PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
+def cuts(leaf_chars: int, length: int) -> list[int]:
+    """Bounds of the leaves of a text: halves of halves, until none is longer than ``leaf_chars``."""
+    parts = 1
+    while length / parts > leaf_chars:
+        parts *= 2
+    return [length * i // parts for i in range(parts + 1)]
+
+
 def _agreement(ids, starts, ends, wi, ws, we, first: bool):
     """Indexes (in the half, in the window) of a token where _RUN tokens in a row agree: the first or the last such."""
     if len(ids) < _RUN or len(wi) < _RUN:
@@ -208,41 +209,52 @@ def _drops_white_space(path: str) -> bool:
     )
 
 
-@functools.lru_cache(2)
-def encoder(path: str, leaf_chars: int = 32768, cache_words: int = 500_000) -> TreeEncoder:
+@functools.lru_cache(1)
+def encoder(path: str, leaf_chars: int = 32768, cache_words: int = 300_000) -> TreeEncoder:
     """One encoder for each Python worker and tokenizer file."""
     return TreeEncoder(path, leaf_chars, cache_words)
 
 
-_TOKENS = "ids binary, n_tokens long"
+def _as_tokens(enc: TreeEncoder, ids: list[bytes]) -> dict[str, list]:
+    return {"ids": ids, "n_tokens": [len(x) // 4 for x in ids]}
 
 
-def encode_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = 32768, spread_chars: int = 65536) -> DataFrame:
-    """Encode every whole text: rows ``(id, ids, n_tokens)``, ids as little-endian unsigned 32-bit integers.
+def _as_digests(enc: TreeEncoder, ids: list[bytes]) -> dict[str, list]:
+    texts = enc.decode_many([np.frombuffer(x, "<u4") for x in ids])
+    return {
+        "n_tokens": [len(x) // 4 for x in ids],
+        "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
+        "decoded_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts],
+    }
 
-    Texts up to ``spread_chars`` are encoded where they are read, without a shuffle (in-task tree above two leaves).
-    Longer ones are cut into leaves that are dealt over the cluster, encoded there and joined, one document at a time.
-    Null or empty text gives no ids; repeated rows give repeated results; other columns are ignored.
-    """
+
+_TOKEN_FIELDS = [("ids", pa.binary(), "binary"), ("n_tokens", pa.int64(), "long")]
+_DIGEST_FIELDS = [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
+
+
+def _encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, leaf_chars: int, spread_chars: int, finish, fields) -> DataFrame:
+    """Encode every whole text; ``finish`` makes the columns ``fields`` of the ids, in the task that encoded them."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     short = slim.where(F.col("text").isNull() | (F.length("text") <= spread_chars))
     long = slim.where(F.length("text") > spread_chars)
     kind = slim.schema["id"].dataType
-    out = pa.schema([("id", _arrow(kind)), ("ids", pa.binary()), ("n_tokens", pa.int64())])
+    out = pa.schema([("id", _arrow(kind)), *((n, t) for n, t, _ in fields)])
 
     def direct(batches):
         enc = encoder(tokenizer, leaf_chars)
         for b in batches:
-            ids = [enc.encode_bytes(t) for t in b.column(1).to_pylist()]
-            yield batch({"id": b.column(0), "ids": ids, "n_tokens": [len(x) // 4 for x in ids]}, out)
+            for k in range(0, b.num_rows, 256):
+                s = b.slice(k, 256)
+                yield batch({"id": s.column(0)} | finish(enc, [enc.encode_bytes(t) for t in s.column(1).to_pylist()]), out)
 
     leaf_schema = pa.schema([("id", _arrow(kind)), ("key", pa.string()), ("leaf", pa.int64()), ("text", pa.string())])
 
     def split(batches):
-        enc = encoder(tokenizer, leaf_chars)
+        at_of = functools.partial(cuts, leaf_chars)
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                key, at = hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest(), enc.cuts(len(t))
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                t = t.as_py()
+                key, at = hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest(), at_of(len(t))
                 n = len(at) - 1
                 yield batch({"id": [i] * n, "key": [key] * n, "leaf": list(range(n)), "text": [t[at[k] : at[k + 1]] for k in range(n)]}, leaf_schema)
 
@@ -251,7 +263,7 @@ def encode_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     def leaves(batches):
         enc = encoder(tokenizer, leaf_chars)
         for b in batches:
-            got = [enc.leaf(t) for t in b.column(3).to_pylist()]
+            got = [enc.leaf(t.as_py()) for t in b.column(3)]
             cols = {n: [g[k].astype("<u4").tobytes() for g in got] for k, n in enumerate(("ids", "starts", "ends"))}
             yield batch({f.name: b.column(k) for k, f in enumerate(leaf_schema)} | cols, part_schema)
 
@@ -265,10 +277,10 @@ def encode_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             at.append(at[-1] + len(r["text"]))
         text = "".join(r["text"] for r in rows)
         ids = enc.join_all(text, at, [tuple(np.frombuffer(r[n], "<u4").astype(np.int64) for n in ("ids", "starts", "ends")) for r in rows])[0]
-        done = ids.astype("<u4").tobytes()
-        return pa.table({"id": pa.array([rows[0]["id"]] * copies, out.field("id").type), "ids": pa.array([done] * copies, pa.binary()), "n_tokens": pa.array([len(ids)] * copies, pa.int64())})
+        done = finish(enc, [ids.astype("<u4").tobytes()])
+        return pa.Table.from_batches([batch({"id": [rows[0]["id"]] * copies} | {k: v * copies for k, v in done.items()}, out)])
 
-    ddl = f"id {kind.simpleString()}, {_TOKENS}"
+    ddl = ", ".join((f"id {kind.simpleString()}", *(f"{n} {t}" for n, _, t in fields)))
     leaf_ddl = f"id {kind.simpleString()}, key string, leaf long, text string"
     a = short.mapInArrow(direct, ddl)
     b = (
@@ -281,6 +293,26 @@ def encode_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     return a.unionByName(b).withColumnRenamed("id", id_col)
 
 
+def encode_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = 32768, spread_chars: int = 65536) -> DataFrame:
+    """Encode every whole text: rows ``(id, ids, n_tokens)``, ids as little-endian unsigned 32-bit integers.
+
+    Texts up to ``spread_chars`` are encoded where they are read, without a shuffle (in-task tree above two leaves).
+    Longer ones are cut into leaves that are dealt over the cluster, encoded there and joined, one document at a time.
+    Null or empty text gives no ids; repeated rows give repeated results; other columns are ignored; an empty table
+    gives no rows.
+    """
+    return _encoded(docs, tokenizer, id_col, text_col, leaf_chars, spread_chars, _as_tokens, _TOKEN_FIELDS)
+
+
+def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = 32768, spread_chars: int = 65536) -> DataFrame:
+    """Encode and decode whole texts and digest both: ``(id, n_tokens, ids_sha256, decoded_sha256)``.
+
+    The id lists go from encoder to decoder within a task: nothing but the digests leaves it. Rows as in
+    ``encode_table``; the digests of no ids are those of empty strings.
+    """
+    return _encoded(docs, tokenizer, id_col, text_col, leaf_chars, spread_chars, _as_digests, _DIGEST_FIELDS)
+
+
 def _arrow(kind) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -300,28 +332,3 @@ def decode_table(tokens: DataFrame, tokenizer: str, id_col: str = "doc_id") -> D
                 yield batch({id_col: s.column(0), "text": enc.decode_many([np.frombuffer(x or b"", "<u4") for x in s.column(1).to_pylist()])}, out)
 
     return tokens.select(id_col, "ids").mapInArrow(run, f"{id_col} {kind.simpleString()}, text string")
-
-
-def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = 32768, spread_chars: int = 65536) -> DataFrame:
-    """Encode and decode whole texts and digest both: ``(id, n_tokens, ids_sha256, decoded_sha256)``.
-
-    The id lists go from encoder to decoder within a task: nothing but the digests leaves it.
-    """
-    tokens = encode_table(docs, tokenizer, id_col, text_col, leaf_chars, spread_chars)
-    kind = tokens.schema[id_col].dataType
-    out = pa.schema([(id_col, _arrow(kind)), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-
-    def run(batches):
-        enc = encoder(tokenizer)
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                s = b.slice(k, 256)
-                raw = [x or b"" for x in s.column(1).to_pylist()]
-                texts = enc.decode_many([np.frombuffer(x, "<u4") for x in raw])
-                yield batch({
-                    id_col: s.column(0), "n_tokens": [len(x) // 4 for x in raw],
-                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in raw],
-                    "decoded_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts],
-                }, out)
-
-    return tokens.mapInArrow(run, f"{id_col} {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
