@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import bpe, dac, decontam, langid, toxicity
+from pathloom.llm import bpe, dac, decontam, html, langid, neardup, quality, toxicity
 from pathloom.llm.common import table
 
 
@@ -37,14 +37,29 @@ def op5_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extract the main text of every page."""
+    return html.extract_table(table(spark, sf_dir, "pages"))
+
+
+def op8_quality_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document's quality."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predict the language of every document."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group near-duplicate documents: four-word shingles, similarity 0.8."""
+    return neardup.components(table(spark, sf_dir, "documents"), width=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {f.__name__: f for f in (op2_bpe_round_trip, op3_suffix_array_decontamination, op4_token_file, op5_toxicity_neighbours, op9_language_cross_parsing)}
+    return {f.__name__: f for f in (op2_bpe_round_trip, op3_suffix_array_decontamination, op4_token_file, op5_toxicity_neighbours, op7_main_text, op8_quality_chain, op9_language_cross_parsing, op10_minhash_components)}
 
 
 def oracle_sql() -> dict[str, str]:
