@@ -256,12 +256,38 @@ def digest(found: DataFrame, id_col: str = "doc_id", share: int = 20) -> DataFra
     )
 
 
-def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 20, **options) -> DataFrame:
-    """Documents without the contaminated ones, all columns kept.
+def remove(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    share: int = 20, window: int = 13, block_bytes: int = 32 << 20, shard_chars: int = 8 << 20,
+) -> DataFrame:
+    """Documents without the contaminated ones (hit words make one in ``share`` at least), all columns kept.
 
-    Rows are matched by id and text digest, so rows that share an id are judged each by its own text.
+    With a test set of one block, rows are dropped where they are read. With more, rows are matched by id and text
+    digest, so rows that share an id are judged each by its own text.
     """
+    tests = list(blocks(items, item_col, item_text, block_bytes))
+    if len(tests) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(tests[0])
+        at = docs.columns.index(text_col)
+
+        def run(batches):
+            test = TestSuffixes(shared.value, window)
+            for b in batches:
+                texts, keep, done = b.column(at).to_pylist(), [], 0
+                while done < len(texts):
+                    end, size = done, 0
+                    while end < len(texts) and (end == done or size + len(texts[end] or "") <= shard_chars):
+                        size += len(texts[end] or "")
+                        end += 1
+                    for r in scan(texts[done:end], test):
+                        hit = sum(e - s for s, e in r["spans"])
+                        keep.append(not (hit and share * hit >= r["n_words"]))
+                    done = end
+                yield b.filter(pa.array(keep, pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
     keyed = docs.select(F.struct(F.col(id_col).alias("i"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("d")).alias("_pl_key"), F.col(text_col).alias("_pl_text"))
-    bad = find_contamination(keyed, items, "_pl_key", "_pl_text", **options).where(f"n_hit > 0 and {share} * n_hit >= n_words").select(F.col("_pl_key.i").alias("_pl_i"), F.col("_pl_key.d").alias("_pl_d")).distinct()
+    bad = find_contamination(keyed, items, "_pl_key", "_pl_text", item_col, item_text, window, block_bytes, shard_chars)
+    bad = bad.where(f"n_hit > 0 and {share} * n_hit >= n_words").select(F.col("_pl_key.i").alias("_pl_i"), F.col("_pl_key.d").alias("_pl_d")).distinct()
     on = F.col(id_col).eqNullSafe(F.col("_pl_i")) & (F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("_pl_d"))
     return docs.join(bad, on, "left_anti")

@@ -5,20 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pathloom.llm import bpe, dac, decontam, html, langid, neardup, quality, toxicity
+from pathloom.llm import bpe, dac, decontam, html, langid, linededup, metric, neardup, quality, toxicity
 from pathloom.llm.common import table
 
 
-def _word_bpe() -> str:
+def word_bpe() -> str:
+    """Path of the tokenizer that the queries use."""
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove repeated line chunks from every document."""
+    out = linededup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document."""
-    return bpe.round_trip(table(spark, sf_dir, "documents"), _word_bpe())
+    return bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe())
 
 
 def op3_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +37,7 @@ def op3_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
 
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write and read back the ids of every document, end id 1."""
-    return dac.write_and_digest(table(spark, sf_dir, "documents"), _word_bpe(), end_id=1)
+    return dac.write_and_digest(table(spark, sf_dir, "documents"), word_bpe(), end_id=1)
 
 
 def op5_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +45,11 @@ def op5_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link all embeddings at a cosine of 0.95 or more."""
+    return metric.components(table(spark, sf_dir, "embeddings"))
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extract the main text of every page."""
     return html.extract_table(table(spark, sf_dir, "pages"))
@@ -59,7 +72,7 @@ def op10_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {f.__name__: f for f in (op2_bpe_round_trip, op3_suffix_array_decontamination, op4_token_file, op5_toxicity_neighbours, op7_main_text, op8_quality_chain, op9_language_cross_parsing, op10_minhash_components)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_bpe_round_trip, op3_suffix_array_decontamination, op4_token_file, op5_toxicity_neighbours, op6_metric_range_join, op7_main_text, op8_quality_chain, op9_language_cross_parsing, op10_minhash_components)}
 
 
 def oracle_sql() -> dict[str, str]:
