@@ -151,40 +151,49 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     dealt.sortWithinPartitions("id", "text").mapInArrow(run, ddl).write.option("compression", "zstd").parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Segments with ``start``, the number of ids before each, from the written files.
+def starts(files: DataFrame) -> DataFrame:
+    """``(part, segment, start)``: the number of ids before each segment.
 
     Starts are summed within a part first; only one row for each part meets in the last window.
     """
-    files = spark.read.parquet(path)
     heads = files.select("part", "segment", "n_ids")
     parts = heads.groupBy("part").agg(F.sum("n_ids").alias("n_part"))
     parts = parts.select("part", (F.sum("n_part").over(Window.orderBy("part")) - F.col("n_part")).alias("before"))
     inside = Window.partitionBy("part").orderBy("segment")
     heads = heads.select("part", "segment", (F.sum("n_ids").over(inside) - F.col("n_ids")).alias("within"))
-    starts = heads.join(parts, "part").select("part", "segment", (F.col("before") + F.col("within")).alias("start"))
-    return files.join(starts, ["part", "segment"])
+    return heads.join(parts, "part").select("part", "segment", (F.col("before") + F.col("within")).alias("start"))
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Segments of the written files with their ``start``."""
+    files = spark.read.parquet(path)
+    return files.join(starts(files), ["part", "segment"])
 
 
-def digest(segments: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Read every document's ids back from segments: ``(id, start, n_tokens, ids_crc32)``."""
-    kind = segments.schema["doc_ids"].dataType.elementType
-    out = pa.schema([(id_col, _arrow(kind)), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+def digest(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Read every document's ids back from segments: ``(id, start, n_tokens, ids_crc32)``.
+
+    Segments are read where they lie; only the digests of documents meet the starts of their segments.
+    """
+    kind = files.schema["doc_ids"].dataType.elementType
+    out = pa.schema([(id_col, _arrow(kind)), ("part", pa.int64()), ("segment", pa.int64()), ("within", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches):
         for b in batches:
             for row in range(b.num_rows):
-                start, doc_ids, lengths, data = (b.column(k)[row] for k in range(4))
+                part, segment, doc_ids, lengths, data = (b.column(k)[row] for k in range(5))
                 seg, n, at = Segment(data.as_py()), np.asarray(lengths.values), 0
                 crc = []
                 for k in n.tolist():
                     crc.append(zlib.crc32(seg.slice(at, at + k).astype("<u4", copy=False)))
                     at += k
-                starts = start.as_py() + np.cumsum(n) - n
-                yield batch({id_col: doc_ids.values, "start": starts, "n_tokens": n, "ids_crc32": crc}, out)
+                yield batch({
+                    id_col: doc_ids.values, "part": [part.as_py()] * len(n), "segment": [segment.as_py()] * len(n), "within": np.cumsum(n) - n, "n_tokens": n, "ids_crc32": crc,
+                }, out)
 
-    ddl = f"{id_col} {kind.simpleString()}, start long, n_tokens long, ids_crc32 long"
-    return segments.select("start", "doc_ids", "lengths", "data").mapInArrow(run, ddl)
+    ddl = f"{id_col} {kind.simpleString()}, part long, segment long, within long, n_tokens long, ids_crc32 long"
+    docs = files.select("part", "segment", "doc_ids", "lengths", "data").mapInArrow(run, ddl)
+    return docs.join(starts(files), ["part", "segment"]).select(id_col, (F.col("start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def write_and_digest(docs: DataFrame, tokenizer: str, end_id: int, label: str = "ids") -> DataFrame:
@@ -194,4 +203,4 @@ def write_and_digest(docs: DataFrame, tokenizer: str, end_id: int, label: str =
     spark = docs.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     write(docs, path, tokenizer, end_id)
-    return digest(read(spark, path))
+    return digest(spark.read.parquet(path))
