@@ -6,10 +6,11 @@ bin of two documents agrees with the probability of their similarity, for short
 documents that agree in a band share a bucket.
 
 Documents with equal shingle sets are one class, represented by the smallest id, before any bucket is built. A bucket
-yields a star: each member is paired with one member that a hash picks for the band. Verified pairs make components.
-What a star left open is then closed exactly: in every bucket whose members lie in several components, the members
-outside the bucket's largest component are paired with all members of other components. So every pair that shares a
-bucket is either verified, refuted, or within a component already, and no bucket emits the pairs of one component.
+yields a star: each member is paired with the one that meets the most others over all its buckets, which is the original
+where copies were made of one text. Verified pairs make components.
+What the stars left open is then closed exactly: in every bucket whose members lie in several components, the members
+outside the bucket's largest component are compared with all members of other components, in blocks of bounded size that
+return links and never pairs. So every pair that shares a bucket is verified, refuted, or within a component already.
 """
 
 from __future__ import annotations
@@ -157,15 +158,98 @@ def _verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return full.mapInArrow(run, f"a {kind.simpleString()}, b {kind.simpleString()}")
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of two lists of sorted sets: shingles that many of both hold by a matrix product, others one by one."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    la, lb = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.int32)
+    if not len(both):
+        return out
+    pa_, pb = np.minimum(np.searchsorted(both, a), len(both) - 1), np.minimum(np.searchsorted(both, b), len(both) - 1)
+    ka, kb = both[pa_] == a, both[pb] == b
+    pa_, la, pb, lb = pa_[ka], la[ka], pb[kb], lb[kb]
+    ca, cb = np.bincount(pa_, minlength=len(both)), np.bincount(pb, minlength=len(both))
+    common = ca.astype(np.int64) * cb > 0.01 * len(left) * len(right) + 16
+    place = np.cumsum(common) - 1
+    width = 2048
+    for lo in range(0, int(common.sum()), width):
+        x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+        for m, p, l in ((x, pa_, la), (y, pb, lb)):
+            k = common[p] & (place[p] >= lo) & (place[p] < lo + width)
+            m[l[k], place[p[k]] - lo] = 1
+        out += (x @ y.T).astype(np.int32)
+    # the rest: every pair of places of one shingle
+    ra, rb = ~common[pa_], ~common[pb]
+    order = np.argsort(pb[rb], kind="stable")
+    keys, rows = pb[rb][order], lb[rb][order]
+    for s in range(0, int(ra.sum()), 65536):
+        p, l = pa_[ra][s : s + 65536], la[ra][s : s + 65536]
+        lo, hi = np.searchsorted(keys, p), np.searchsorted(keys, p, side="right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out += np.bincount(np.repeat(l, n) * len(right) + rows[at], minlength=out.size).reshape(out.shape).astype(np.int32) if out.size < 1 << 22 or n.sum() * 4 > out.size else _added(out.shape, np.repeat(l, n), rows[at])
+    return out
+
+
+def _added(shape: tuple[int, int], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    out = np.zeros(shape, np.int32)
+    np.add.at(out, (i, j), 1)
+    return out
+
+
+def _links_of(own: list[tuple], other: list[tuple], per_cent: int) -> list[tuple]:
+    """Links ``(id, id)`` between different components: one for each own member and component it is linked with."""
+    out = []
+    x, y = [np.frombuffer(r[2], np.uint64) for r in own], [np.frombuffer(r[2], np.uint64) for r in other]
+    both = overlaps(x, y).astype(np.int64)
+    nx, ny = np.array([len(v) for v in x]), np.array([len(v) for v in y])
+    names: dict = {}
+    cx = np.array([names.setdefault(r[1], len(names)) for r in own])
+    cy = np.array([names.setdefault(r[1], len(names)) for r in other])
+    linked = (100 * both >= per_cent * (nx[:, None] + ny[None, :] - both)) & (cx[:, None] != cy[None, :])
+    for k in np.flatnonzero(linked.any(1)):
+        at = np.flatnonzero(linked[k])
+        _, first = np.unique(cy[at], return_index=True)
+        out += [(own[k][0], other[at[f]][0]) for f in first]
+    return out
+
+
+def _block_links(blocks: DataFrame, kind, per_cent: int) -> DataFrame:
+    """Links found in blocks ``(bucket, i, j)``; a block's rows are read one after the other, so one block is held at a time."""
+    out = pa.schema([("a", _arrow(kind)), ("b", _arrow(kind))])
+
+    def run(batches):
+        key, own, other = None, [], []
+        for t in batches:
+            keys = list(zip(*(t.column(k).to_pylist() for k in range(3)), strict=True))
+            mine, ids, component = t.column(3).to_pylist(), t.column(4).to_pylist(), t.column(5).to_pylist()
+            found = []
+            for r, k in enumerate(keys):
+                if k != key:
+                    if own and other:
+                        found += _links_of(own, other, per_cent)
+                    key, own, other = k, [], []
+                (own if mine[r] else other).append((ids[r], component[r], t.column(6)[r].as_py()))
+            if found:
+                yield batch({"a": [f[0] for f in found], "b": [f[1] for f in found]}, out)
+        if own and other and (found := _links_of(own, other, per_cent)):
+            yield batch({"a": [f[0] for f in found], "b": [f[1] for f in found]}, out)
+
+    dealt = blocks.select("bucket", "i", "j", "own", "id", "component", "hashes").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    name = kind.simpleString()
+    return dealt.mapInArrow(run, f"a {name}, b {name}").distinct()
+
+
 def components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, per_cent: int = 80, bands: int = 32, rows: int = 5, star_pairs: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, per_cent: int = 80, bands: int = 32, rows: int = 5, star_pairs: int = 3, block_shingles: int = 250_000
 ) -> DataFrame:
     """Rows ``(id, n_shingles, component_id, kept)``, one for each row of ``docs``.
 
     component_id is the smallest id reachable by links, itself included; kept tells whether it is the row's own. Empty
     sets link with nothing. With 32 bands of 5 a pair at exactly 0.8 is missed with a probability of 3 in a million.
     ``star_pairs``: pairs of each document that are verified before its buckets are looked at again; it bounds work, not
-    results. Rows that share an id are taken as one document with either text. Null ids get a null component.
+    results. ``block_shingles``: shingles on one side of a block. Rows that share an id are taken as one document with either text. Null ids get a null component.
     """
     signed = store(_signatures(docs, id_col, text_col, width, bands, rows), "signatures")
     some = signed.where("n > 0 and id is not null")
@@ -173,12 +257,14 @@ def components(
     classes = store(classes, "classes")
 
     members = classes.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id", "n")).alias("m")).where("c > 1")
-    shared = shared.select("bucket", F.col("m.id").alias("hub"), F.col("m.n").alias("hub_n"))
-    # buckets with company: the members that later steps look at again
-    members = store(members.join(shared, "bucket"), "buckets")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    # buckets with company: the members that all later steps look at
+    members = store(members.join(sizes, "bucket"), "buckets")
+    met = members.groupBy("id").agg(F.sum("c").alias("met"))
+    hubs = members.join(met, "id").groupBy("bucket").agg(F.max(F.struct("met", F.xxhash64("id").alias("h"), "id", "n")).alias("m"))
+    stars = members.join(hubs.select("bucket", F.col("m.id").alias("hub"), F.col("m.n").alias("hub_n")), "bucket")
     fits = f"100 * least(n, hub_n) >= {per_cent} * greatest(n, hub_n)"
-    stars = members.where("id <> hub").where(fits).groupBy("id", "hub").agg(F.count("*").alias("c"))
+    stars = stars.where("id <> hub").where(fits).groupBy("id", "hub").agg(F.count("*").alias("c"))
     best = F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "hub")))
     # a document has one hub for each band at most: the list is bounded by the number of bands
     stars = stars.groupBy("id").agg(F.slice(best, 1, star_pairs).alias("s")).select("id", F.explode("s.hub").alias("hub"))
@@ -191,14 +277,15 @@ def components(
 
     # what the stars left open, bucket by bucket
     placed = members.join(found, members["id"] == found["node"], "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    several = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("c", "component")).alias("m")).where("k > 1").select("bucket", F.col("m.component").alias("main"))
-    open_ = cut(placed.join(several, "bucket"))
-    x = open_.where("component <> main").select("bucket", F.col("id").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
-    y = open_.select("bucket", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), "main")
-    pairs = x.join(y, "bucket").where(f"ac <> bc and 100 * least(an, bn) >= {per_cent} * greatest(an, bn) and (bc = main or a > b)")
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = cut(_verified(pairs, sets, per_cent))
+    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    several = parts.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("c", "component", "w")).alias("m"), F.sum("w").alias("w")).where("k > 1")
+    several = several.select("bucket", F.col("m.component").alias("main"), F.ceil(F.col("w") / block_shingles).cast("int").alias("all_blocks"), F.ceil((F.col("w") - F.col("m.w")) * 2 / block_shingles).cast("int").alias("own_blocks"))
+    open_ = placed.join(several, "bucket")
+    h = F.xxhash64("id", "bucket")
+    own = open_.where("component <> main").select("bucket", "id", "component", F.lit(True).alias("own"), F.pmod(h, "own_blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"))
+    other = open_.select("bucket", "id", "component", F.lit(False).alias("own"), F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1)).alias("i"), F.pmod(h, "all_blocks").cast("int").alias("j"))
+    blocks = own.unionByName(other).join(sets, "id")
+    more = cut(_block_links(blocks, docs.schema[id_col].dataType, per_cent))
     if not more.isEmpty():
         # links within a component are told by its smallest id
         old = found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
