@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pathloom import values as V
+from pathloom import functions as _functions  # noqa: F401  registers all functions
 from pathloom.functions.scalar import call
 from pathloom.operators.aggregate import AGGREGATES, aggregate_column
 from pathloom.plans.ast import Expr
@@ -31,7 +32,12 @@ class Scope:
 
 def is_aggregate(e: Expr) -> bool:
     """Whether an aggregate is called anywhere in an expression."""
-    return any(x.op == "call" and x.args[0].lower() in AGGREGATES for x in e.walk())
+    return any(_aggregates(x) for x in e.walk())
+
+
+def _aggregates(e: Expr) -> bool:
+    # bit_and and the like are aggregates of one argument and plain functions of two
+    return e.op == "call" and e.args[0].lower() in AGGREGATES and len(e.args[1]) == 1
 
 
 def constant(e: Expr, parameters: dict[str, object] | None = None) -> object:
@@ -322,10 +328,8 @@ def _c_reduce(e, s):
 
 def _c_call(e, s):
     name, args, distinct = e.args
-    if name.lower() in AGGREGATES:
-        if args and args[0].op == "star":
+    if _aggregates(e):
+        if args[0].op == "star":
             return Typed(F.count(F.lit(1)), "int")
-        if len(args) != 1:
-            raise SemanticError(f"{name} takes one argument")
         return aggregate_column(name, compile_expr(args[0], s), distinct)
     return call(name, [compile_expr(a, s) for a in args])

@@ -276,13 +276,18 @@ def _pattern(st: State, p: Pattern, conds: list[Expr], everything: list[Expr]) -
     if p.shortest:
         _shortest(st, p, aliases, conds)
         return
+    names = [e.alias or st.fresh("e") for e in p.edges]
     begin = min(range(len(p.nodes)), key=lambda k: (_rank(st, p.nodes[k], conds), k))
     first = p.nodes[begin]
-    if aliases[begin] in st.kinds:
+    from_edges = _rank(st, first, conds) == 5 and bool(p.edges) and not p.edges[0].variable and len(set(aliases)) == len(aliases)
+    if from_edges:
+        # nothing narrows any vertex: the edge table itself is the start
+        begin = 0
+        st.kinds[aliases[0]] = "node"
+    elif aliases[begin] in st.kinds:
         _bound_node(st, first, aliases[begin], conds, again=True)
     else:
         _start(st, first, aliases[begin], conds)
-    names = [e.alias or st.fresh("e") for e in p.edges]
     whole = p.alias is not None
     used: list[tuple[str, bool]] = []
     between: dict[int, str] = {}
@@ -292,7 +297,10 @@ def _pattern(st: State, p: Pattern, conds: list[Expr], everything: list[Expr]) -
         here, there = (k, k + 1) if right else (k + 1, k)
         e = p.edges[k]
         nodes_col = st.fresh("m") if whole and e.variable else None
-        _hop(st, e, names[k], aliases[here], aliases[there], right, used, props, nodes_col, everything)
+        if from_edges and k == 0:
+            _edge_scan(st, e, names[0], aliases, props, everything)
+        else:
+            _hop(st, e, names[k], aliases[here], aliases[there], right, used, props, nodes_col, everything)
         if nodes_col:
             between[k] = nodes_col
             if not right:
@@ -346,13 +354,11 @@ def _edge_props(st: State, e: Edge, types: list[str], everything: list[Expr]) ->
     return have if total > inside else [c for c in have if c in direct]
 
 
-def _hop(st: State, e: Edge, name: str, here: str, there: str, right: bool, used, props, nodes_col, everything) -> None:
-    space = st.space
-    types = space.edge_types(e.types)
-    direction = e.direction if right else _FLIP[e.direction]
-    filters = list(e.props)
+def _view(st: State, e: Edge, direction: str, right: bool, props, everything) -> tuple[DataFrame, list[str], object]:
+    """Edge view of a pattern edge, the properties its values hold, and the condition of its property map."""
+    types = st.space.edge_types(e.types)
     wanted = props if props is not None else _edge_props(st, e, types, everything)
-    view = space.edge_view(types, direction, list(dict.fromkeys([*wanted, *filters])))
+    view = st.space.edge_view(types, direction, list(dict.fromkeys([*wanted, *e.props])))
     if not right:
         # the value of an edge tells how it is walked from left to right
         view = view.withColumn("_dir", -F.col("_dir"))
@@ -360,14 +366,27 @@ def _hop(st: State, e: Edge, name: str, here: str, there: str, right: bool, used
     for prop, value in e.props.items():
         test = F.col(f"`{prop}`") == compile_expr(value, Scope(parameters=st.session.parameters)).col
         cond = test if cond is None else cond & test
-    info = {f.name: V.kind_of(f.dataType)[0] for f in view.schema if f.name in wanted}
     if e.alias is not None and any(x.op == "call" and x.args[0].lower() in ("properties", "keys") and x.args[1] and x.args[1][0] == Expr("name", (e.alias,)) for r in everything for x in r.walk()):
         pairs = [x for c in wanted for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]
         view = view.withColumn("_props", F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>"))
         wanted = [*wanted, "_props"]
+    return view, wanted, cond
+
+
+def _edge_scan(st: State, e: Edge, name: str, aliases: list[str], props, everything) -> None:
+    """Bind the first edge of a pattern and both its ends from the edge table alone."""
+    view, wanted, cond = _view(st, e, e.direction, True, props, everything)
+    view = view if cond is None else view.where(V.is_true(cond))
+    df = view.select(F.col("_from").alias(aliases[0]), F.col("_to").alias(aliases[1]), traverse.edge_struct(wanted).alias(name))
+    st.df = df if st.df is None else joins.cross(st.df, df)
+    st.info[name] = {f.name: V.kind_of(f.dataType)[0] for f in view.schema if f.name in wanted}
+
+
+def _hop(st: State, e: Edge, name: str, here: str, there: str, right: bool, used, props, nodes_col, everything) -> None:
+    view, wanted, cond = _view(st, e, e.direction if right else _FLIP[e.direction], right, props, everything)
     least, most = (e.least, e.most if e.most is not None else max(e.least, OPEN_END)) if e.variable else (1, 1)
     st.df = traverse.traverse(view, st.df, here, there, name, least, most, list(used), wanted, not e.variable, cond, into=there in st.kinds, nodes_col=nodes_col)
-    st.info[name] = info
+    st.info[name] = {f.name: V.kind_of(f.dataType)[0] for f in view.schema if f.name in wanted}
 
 
 def _shortest(st: State, p: Pattern, aliases: list[str], conds: list[Expr]) -> None:
