@@ -56,6 +56,19 @@ def batch(columns: dict[str, list | pa.Array], schema: pa.Schema) -> pa.RecordBa
     )
 
 
+_DROPS: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, drop: Callable[[], None]) -> None:
+    """Tell that a task of ``owner`` starts in this Python worker: what other operators remember here is dropped.
+
+    Workers are used again by later stages; without this each would hold the memories of all operators it ever ran.
+    """
+    _DROPS[owner] = drop
+    for name in [n for n in _DROPS if n != owner]:
+        _DROPS.pop(name)()
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of an id written as text, modulo ``modulus``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

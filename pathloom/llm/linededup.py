@@ -3,7 +3,8 @@
 A text is a sequence of lines. A rolling hash over the hashes of the last lines decides where a chunk ends, so chunks
 begin and end at the same lines wherever a passage stands: shifting it moves no boundary inside it. A line with many
 words is a chunk of its own. Chunks that recur anywhere in the table are removed except for their first occurrence, after
-the bytes of all occurrences have been compared.
+the bytes of all occurrences have been compared. A passage's first and last lines share chunks with what surrounds it, so
+a removed chunk grows over neighbouring lines that occurred before, too.
 """
 
 from __future__ import annotations
@@ -15,36 +16,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.bpe import _arrow
-from pathloom.llm.common import batch, store
+from pathloom.llm.common import batch, claim, store
 from pathloom.llm.neardup import _ODD, _mix
 
 
-def chunks(text: str | None, window: int = 2, divisor: int = 2, min_words: int = 20) -> list[tuple[int, int, str]]:
+def _hash(text: str, mark: bytes = b"") -> int:
+    return xxhash.xxh3_64_intdigest(mark + text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def chunks(text: str | None, window: int = 2, divisor: int = 2, min_words: int = 20, few_words: int = 10) -> list[tuple[int, int, str]]:
     """Chunks that may be removed: ``(first line, end line, text)``.
 
-    window: lines that the rolling hash spans; divisor: one boundary in so many lines on average; min_words: a line of
-    this many words stands alone, and chunks with fewer words stay in any case. No chunks for null or empty text.
+    window: lines that the rolling hash spans; divisor: one boundary in so many lines on average, after two lines at
+    least; min_words: a line of this many words stands alone. Chunks of several lines but under ``few_words`` words, and
+    single lines of fewer than ``min_words``, are no chunks to remove. None for null or empty text.
     """
     if not text:
         return []
     lines = text.split("\n")
     words = [len(x.split()) for x in lines]
     n = len(lines)
-    long = np.fromiter((w >= min_words for w in words), bool, n)
     with np.errstate(over="ignore"):
         h = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines), np.uint64, n)
         rolling = np.zeros(n, np.uint64)
         for k in range(min(window, n)):
             rolling[k:] += h[: n - k] * _ODD[k]
-        ends = _mix(rolling) % np.uint64(divisor) == 0
-    ends |= long
-    ends[:-1] |= long[1:]
-    ends[-1] = True
+        ends = (_mix(rolling) % np.uint64(divisor) == 0).tolist()
     out, first = [], 0
-    for end in (np.flatnonzero(ends) + 1).tolist():
-        if sum(words[first:end]) >= min_words:
-            out.append((first, end, "\n".join(lines[first:end])))
-        first = end
+    for k in range(n):
+        alone = words[k] >= min_words
+        last = k + 1 == n or alone or words[k + 1] >= min_words
+        if last or (ends[k] and k + 1 - first >= 2):
+            total = sum(words[first : k + 1])
+            if total >= min_words or (k + 1 - first >= 2 and total >= few_words):
+                out.append((first, k + 1, "\n".join(lines[first : k + 1])))
+            first = k + 1
+    return out
+
+
+def short_lines(text: str | None, min_words: int = 20) -> list[tuple[int, str]]:
+    """Lines over which a removed chunk may grow: those with a word but fewer than ``min_words``."""
+    return [(k, x) for k, x in enumerate((text or "").split("\n")) if x.strip() and len(x.split()) < min_words]
+
+
+def grown(n_lines: int, spans: list[tuple[int, int]], repeated: set[int]) -> list[tuple[int, int]]:
+    """Removed spans, each grown over neighbouring lines that are in ``repeated``, as disjoint spans."""
+    gone: set[int] = set()
+    for first, end in spans:
+        while first > 0 and first - 1 in repeated:
+            first -= 1
+        while end < n_lines and end in repeated:
+            end += 1
+        gone.update(range(first, end))
+    out: list[tuple[int, int]] = []
+    for k in sorted(gone):
+        if out and out[-1][1] == k:
+            out[-1] = (out[-1][0], k + 1)
+        else:
+            out.append((k, k + 1))
     return out
 
 
@@ -57,10 +86,10 @@ def remove_lines(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
     return "\n".join(lines), gone
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", window: int = 2, divisor: int = 2, min_words: int = 20) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", window: int = 2, divisor: int = 2, min_words: int = 20, few_words: int = 10) -> DataFrame:
     """All rows and columns of ``docs`` with repeated chunks removed from the text, and ``_n_lines`` and ``_n_removed``.
 
-    The first occurrence by id, then by place, stays; so would chunks of equal 128-bit hash but different bytes. ``length_col``, if there is such a column, gets the new length.
+    The first occurrence by id, then by place, stays; so would chunks of equal hash but different bytes. ``length_col``, if there is such a column, gets the new length.
     Null text stays null; a text that consists of repeated chunks becomes empty. Rows that repeat both id and text are the
     same document and lose the same lines. Columns of the input named like the two new ones are replaced.
     """
@@ -68,26 +97,30 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     docs = docs.drop("_n_lines", "_n_removed")
     slim = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text"))
-    options = (window, divisor, min_words)
+    options = (window, divisor, min_words, few_words)
 
-    place_schema = pa.schema([("id", _arrow(kind)), ("key", pa.int64()), ("first", pa.int32()), ("end", pa.int32()), ("hash", pa.binary())])
+    place_schema = pa.schema([("id", _arrow(kind)), ("key", pa.int64()), ("first", pa.int32()), ("end", pa.int32()), ("hash", pa.int64()), ("line", pa.bool_())])
 
     def place(batches):
+        claim("lines", lambda: None)
         for b in batches:
             ids, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
             for s in range(0, len(ids), 512):
-                cols: list[list] = [[], [], [], [], []]
+                cols: list[list] = [[], [], [], [], [], []]
                 for k in range(s, min(s + 512, len(ids))):
-                    for first, end, text in chunks(b.column(2)[k].as_py(), *options):
-                        for c, v in zip(cols, (ids[k], keys[k], first, end, xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))), strict=True):
+                    text = b.column(2)[k].as_py()
+                    found = [(first, end, _hash(piece), False) for first, end, piece in chunks(text, *options)]
+                    found += [(at, at + 1, _hash(line, b"\0"), True) for at, line in short_lines(text, min_words)]
+                    for first, end, h, line in found:
+                        for c, v in zip(cols, (ids[k], keys[k], first, end, h, line), strict=True):
                             c.append(v)
                 yield batch(dict(zip(place_schema.names, cols, strict=True)), place_schema)
 
-    placed = store(slim.mapInArrow(place, f"id {kind.simpleString()}, key long, first int, end int, hash binary"), "chunks")
+    placed = store(slim.mapInArrow(place, f"id {kind.simpleString()}, key long, first int, end int, hash long, line boolean"), "chunks")
     repeated = placed.groupBy("hash").agg(F.count("*").alias("c"), F.min(F.struct("id", "key", "first")).alias("keep")).where("c > 1").drop("c")
-    found = placed.join(repeated, "hash").select("id", "key", "first", "end", "hash", (F.struct("id", "key", "first") == F.col("keep")).alias("stays"))
+    found = placed.join(repeated, "hash").select("id", "key", "first", "end", "hash", "line", (F.struct("id", "key", "first") == F.col("keep")).alias("stays"))
     # a document's own chunks: bounded by the document
-    lists = found.groupBy("id", "key").agg(F.collect_list(F.struct("first", "end", "hash", "stays")).alias("_chunks")).select(F.col("id").alias("_id"), F.col("key").alias("_key"), "_chunks")
+    lists = found.groupBy("id", "key").agg(F.collect_list(F.struct("first", "end", "hash", "line", "stays")).alias("_chunks"), F.bool_and("line").alias("l")).where("not l").select(F.col("id").alias("_id"), F.col("key").alias("_key"), "_chunks")
     keyed = docs.withColumn("_own", key)
     joined = keyed.join(lists, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left").drop("_id", "_key", "_own")
     joined = _stored(joined)
@@ -100,11 +133,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             for t, c in zip(b.column(0), b.column(1), strict=True):
                 lines = t.as_py().split("\n")
                 mine = c.as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([x["hash"] for x in mine], pa.binary()), pa.array(["\n".join(lines[x["first"] : x["end"]]) for x in mine], pa.string())], names=["hash", "piece"])
+                yield pa.RecordBatch.from_arrays([pa.array([x["hash"] for x in mine], pa.int64()), pa.array(["\n".join(lines[x["first"] : x["end"]]) for x in mine], pa.string())], names=["hash", "piece"])
 
     # byte comparison: all occurrences of a hash are equal if the least and the greatest are
-    pieces = joined.where("_chunks is not null").select(text_col, "_chunks").mapInArrow(bytes_of, "hash binary, piece string")
-    differ = frozenset(bytes(r[0]) for r in pieces.groupBy("hash").agg(F.min("piece").alias("a"), F.max("piece").alias("b")).where("a <> b").select("hash").collect())
+    pieces = joined.where("_chunks is not null").select(text_col, "_chunks").mapInArrow(bytes_of, "hash long, piece string")
+    differ = frozenset(r[0] for r in pieces.groupBy("hash").agg(F.min("piece").alias("a"), F.max("piece").alias("b")).where("a <> b").select("hash").collect())
     shared = docs.sparkSession.sparkContext.broadcast(differ)
 
     def cut_out(batches):
@@ -113,8 +146,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             for t, c in zip(b.column(at), b.column(size), strict=True):
                 text, n = t.as_py(), 0
                 total.append(0 if text is None else text.count("\n") + 1)
-                spans = [(x["first"], x["end"]) for x in (c.as_py() or []) if not x["stays"] and x["hash"] not in shared.value]
+                mine = [x for x in (c.as_py() or []) if not x["stays"] and x["hash"] not in shared.value]
+                spans = [(x["first"], x["end"]) for x in mine if not x["line"]]
                 if spans:
+                    spans = grown(total[-1], spans, {x["first"] for x in mine if x["line"]})
                     text, n = remove_lines(text, spans)
                 texts.append(text)
                 gone.append(n)
