@@ -19,7 +19,7 @@ def _ids(df: DataFrame, col: str, name: str) -> DataFrame:
 def distances(view: DataFrame, start: DataFrame, steps: int, vid: str = "_vid", backward: bool = False) -> DataFrame:
     """Breadth-first distance from the nearest start id: ``(_vid, _depth)`` up to ``steps``."""
     a, b = ("_to", "_from") if backward else ("_from", "_to")
-    hops = view.select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct()
+    hops = view.select(F.col(a).alias("__a"), F.col(b).alias("__b"))
     seen = cut(_ids(start, vid, "_vid").withColumn("_depth", F.lit(0)))
     layer = seen
     for k in range(1, steps + 1):
@@ -42,7 +42,8 @@ def shortest_paths(view: DataFrame, sources: DataFrame, targets: DataFrame, step
     back = distances(view, goal, steps, "_end", backward=True).select(F.col("_vid").alias("__v"), F.col("_depth").alias("__left"))
     back = cut(back)
     edges = view.select(F.col("_from").alias("__from"), F.col("_to").alias("__to"), edge_struct(props or []).alias("__e"))
-    edges = edges.join(back.select(F.col("__v").alias("__to"), "__left"), "__to")
+    # edges that lead towards a target are written once and read at every level
+    edges = cut(edges.join(back.where(F.col("__left") < steps).select(F.col("__v").alias("__to"), "__left"), "__to"))
     seen = cut(_ids(sources, src, "_start").withColumn("_vid", F.col("_start")).join(back.withColumnRenamed("__v", "_vid").select("_vid"), "_vid", "left_semi").select("_start", "_vid", F.lit(0).alias("_depth")))
     layer, preds = seen.select("_start", "_vid"), []
     open_pairs = None
@@ -86,7 +87,8 @@ def all_paths(view: DataFrame, sources: DataFrame, targets: DataFrame, steps: in
         view = view.where(edge_filter)
     goal = cut(_ids(targets, dst, "_end"))
     back = distances(view, goal, steps, "_end", backward=True).select(F.col("_vid").alias("__to"), F.col("_depth").alias("__left"))
-    edges = view.select(F.col("_from").alias("__from"), F.col("_to").alias("__to"), edge_struct(props or []).alias("__e")).join(cut(back), "__to")
+    edges = view.select(F.col("_from").alias("__from"), F.col("_to").alias("__to"), edge_struct(props or []).alias("__e"))
+    edges = cut(edges.join(back.where(F.col("__left") < steps), "__to"))
     walk = _ids(sources, src, "_start").select("_start", F.col("_start").alias("__at"), F.array("_start").alias("_nodes"))
     kind = edges.schema["__e"].dataType.simpleString()
     walk = walk.withColumn("_rels", F.array().cast(f"array<{kind}>"))

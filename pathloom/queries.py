@@ -244,7 +244,7 @@ def _noloop(space):
     return _path_text(paths.all_paths(_sparse(space), _ids(space, 2), _ids(space, 32, 42), 4, no_loop=True))
 
 
-_say("t16_find_path_statement", 'FIND SHORTEST PATH FROM 2 TO 4 OVER placed, holds, supplied_by BIDIRECT UPTO 4 STEPS YIELD path AS p | YIELD min(length($-.p)) AS shortest', None)
+_say("t16_find_path_statement", 'FIND SHORTEST PATH FROM 2 TO 0, 10, 20, 30, 40 OVER in_nation, in_region UPTO 3 STEPS YIELD path AS p | YIELD length($-.p) AS n, id(endNode($-.p)) AS last', "SELECT CAST(2 AS BIGINT) AS n, CAST(n_regionkey AS BIGINT)*10 AS last FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 0")
 
 
 _SUB = f"{SPARSE}, l0 AS (SELECT 2 AS v), l1 AS (SELECT DISTINCT d AS v FROM e WHERE s IN (SELECT v FROM l0) EXCEPT SELECT v FROM l0), l2 AS (SELECT DISTINCT d AS v FROM e WHERE s IN (SELECT v FROM l1) EXCEPT SELECT v FROM l0 EXCEPT SELECT v FROM l1), seen AS (SELECT v FROM l0 UNION SELECT v FROM l1 UNION SELECT v FROM l2)"
@@ -269,6 +269,13 @@ def _versions(space):
     return setops.union_versions([traverse.expand(view, _ids(space, 2), k) for k in (1, 2)])
 
 
+_say("t14_find_all_path_statement", "FIND ALL PATH FROM 2 TO 32, 42 OVER handoff WHERE handoff.value > 120 UPTO 3 STEPS YIELD path AS p | YIELD id(startNode($-.p)) AS a, id(endNode($-.p)) AS b, length($-.p) AS n", f"WITH RECURSIVE {H}, e AS (SELECT * FROM h WHERE v > 120), w AS (SELECT s AS a, d AS b, [r] AS rs, 1 AS n FROM e WHERE s = 2 UNION ALL SELECT w.a, e.d, list_append(rs, e.r), n + 1 FROM w JOIN e ON e.s = w.b WHERE n < 3 AND NOT list_contains(rs, e.r)) SELECT CAST(a AS BIGINT) AS a, b, CAST(n AS BIGINT) AS n FROM w WHERE b IN (32, 42)")
+_say("t15_find_noloop_statement", "FIND NOLOOP PATH FROM 2 TO 32, 42 OVER handoff WHERE handoff.value > 120 UPTO 3 STEPS YIELD path AS p | YIELD count(*) AS n", f"WITH RECURSIVE {H}, e AS (SELECT * FROM h WHERE v > 120), w AS (SELECT s AS a, d AS b, [s, d] AS ns, 1 AS n FROM e WHERE s = 2 AND s <> d UNION ALL SELECT w.a, e.d, list_append(ns, e.d), n + 1 FROM w JOIN e ON e.s = w.b WHERE n < 3 AND NOT list_contains(ns, e.d)) SELECT count(*) AS n FROM w WHERE b IN (32, 42)")
+_say("t17_subgraph_statement", "GET SUBGRAPH 2 STEPS FROM 2 OUT in_nation, in_region YIELD VERTICES AS v, EDGES AS e | YIELD size($-.v) AS v, size($-.e) AS e", "SELECT CAST(1 AS BIGINT) AS v, CAST(x AS BIGINT) AS e FROM (SELECT unnest([1, 1, 0]) AS x)")
+_say("t11_match_shortest", "MATCH p = allShortestPaths((c:customer)-[:in_nation*..3]-(s:supplier)) WHERE id(c) IN [2, 12] AND s.supplier.acctbal > 5000 RETURN id(c) AS c, id(s) AS s, length(p) AS n", "SELECT c_custkey*10+2 AS c, s_suppkey*10+3 AS s, CAST(2 AS BIGINT) AS n FROM customer JOIN supplier ON s_nationkey = c_nationkey WHERE c_custkey IN (0, 1) AND s_acctbal > 5000")
+_say("e1_multi_tag_vertices", "FETCH PROP ON * 2, 3, 4 YIELD id(vertex) AS id, tags(vertex)[0] AS tag, size(keys(vertex)) AS k", "SELECT * FROM (VALUES (CAST(2 AS BIGINT), 'customer', CAST(3 AS BIGINT)), (3, 'supplier', 2), (4, 'part', 5)) AS t(id, tag, k)")
+_say("e13_index_aggregate", "LOOKUP ON part WHERE part.size > 25 YIELD part.type AS t, part.price AS p | GROUP BY $-.t YIELD $-.t AS t, count(*) AS n, max($-.p) AS m | ORDER BY $-.n DESC, $-.t | LIMIT 3", "SELECT p_type AS t, count(*) AS n, max(p_retailprice) AS m FROM part WHERE p_size > 25 GROUP BY 1 ORDER BY n DESC, t LIMIT 3")
+
 # -- projection, predicates, expressions (P) ------------------------------------------------------------
 _say("p1_project", "LOOKUP ON part YIELD id(vertex) AS id, part.size * 2 + 1 AS a, part.size / 7 AS b, part.size % 7 AS c, part.price / 7 AS d, -part.size AS e", "SELECT p_partkey*10+4 AS id, CAST(p_size*2+1 AS BIGINT) AS a, CAST(p_size // 7 AS BIGINT) AS b, CAST(p_size % 7 AS BIGINT) AS c, p_retailprice / 7 AS d, CAST(-p_size AS BIGINT) AS e FROM part")
 _say("p2_filter", 'LOOKUP ON customer WHERE customer.segment STARTS WITH "M" AND NOT customer.acctbal < 5000 OR customer.name ENDS WITH "7" YIELD id(vertex) AS id', "SELECT c_custkey*10+2 AS id FROM customer WHERE (starts_with(c_mktsegment, 'M') AND NOT c_acctbal < 5000) OR ends_with(c_name, '7')")
@@ -357,6 +364,16 @@ _say(
 _say("f_graph_values", "MATCH (c:customer)-[e:placed]->(o:ord) WHERE e.total > 480000 RETURN type(e) AS t, rank(e) AS r, src(e) == id(c) AS s, none_direct_dst(e) == id(o) AS d, size(keys(c)) AS k, tags(o)[0] AS g, properties(e).total AS total", "SELECT 'placed' AS t, CAST(0 AS BIGINT) AS r, TRUE AS s, TRUE AS d, CAST(3 AS BIGINT) AS k, 'ord' AS g, CAST(o_totalprice AS VARCHAR) AS total FROM orders WHERE o_totalprice > 480000")
 
 
+_say(
+    "f_lists",
+    "LOOKUP ON part YIELD id(vertex) AS id, size(toSet([part.size, part.size, 1])) AS a, last(range(1, part.size)) AS b, size(replace([1, 2, 2], 2, part.size)) AS c, size(erase([1, 2, part.size], 2)) AS d, size(setAdd(toSet([1]), part.size)) AS e, size(split(part.name, ' ')) AS f, size(keys({a: 1, b: 2})) AS g, reverse([1, part.size])[0] AS h, coalesce(NULL, part.size) AS i, size([1, 2] + part.size) AS j, part.size IN range(1, 10) AS k",
+    "SELECT p_partkey*10+4 AS id, CAST(CASE WHEN p_size = 1 THEN 1 ELSE 2 END AS BIGINT) AS a, CAST(p_size AS BIGINT) AS b, CAST(3 AS BIGINT) AS c, CAST(CASE WHEN p_size = 2 THEN 1 ELSE 2 END AS BIGINT) AS d, CAST(CASE WHEN p_size = 1 THEN 1 ELSE 2 END AS BIGINT) AS e, CAST(len(string_split(p_name, ' ')) AS BIGINT) AS f, CAST(2 AS BIGINT) AS g, CAST(p_size AS BIGINT) AS h, CAST(p_size AS BIGINT) AS i, CAST(3 AS BIGINT) AS j, p_size BETWEEN 1 AND 10 AS k FROM part",
+)
+_say("m4_upsert_edge", "UPSERT EDGE ON placed 2 -> 99999995 SET total = 5.5; UPDATE EDGE ON placed 2 -> 99999995 SET total = total * 2 WHEN total > 5; GO FROM 2 OVER placed YIELD dst(edge) AS d, placed.total AS total", f"WITH {PLACED} SELECT d, total FROM placed WHERE s = 2 UNION ALL SELECT 99999995, 11.0")
+_say("d_index_statements", "CREATE TAG INDEX by_size ON part(size); CREATE EDGE INDEX by_total ON placed(total); DROP EDGE INDEX by_total; SHOW TAG INDEXES", "SELECT 'by_size' AS \"Index Name\", 'part' AS \"By\", 'size' AS \"Columns\"")
+_say("d_use_space", "CREATE SPACE other AS trade; USE other; CREATE TAG extra(x int); INSERT VERTEX extra(x) VALUES 1: (5); LOOKUP ON extra YIELD extra.x AS x UNION ALL LOOKUP ON region YIELD id(vertex) AS x", "SELECT CAST(5 AS BIGINT) AS x")
+
+
 @_tables("f_cosine", "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q.e AS DOUBLE[])), 6) AS cosine FROM embeddings, q")
 def _cosine(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
