@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import batch
+from pathloom.llm.common import batch, claim
 
 #: Python's str.split() also splits at these, the tokenizers' white space does not hold them.
 _EXTRA_SPACE = re.compile("[\x1c-\x1f]")
@@ -139,7 +139,13 @@ class _Words(dict):
                     end = self._whole(tail)
                     if len(self.tails) < 10_000:
                         self.tails[tail] = end
-                got = array("I", [t.id for t in self.model.tokenize(letters.lower().translate(_BYTE_CHARS))]).tobytes() + end
+                low = letters.lower()
+                stem = self.get(low)
+                if stem is None:
+                    stem = array("I", [t.id for t in self.model.tokenize(low if low.isascii() else low.translate(_BYTE_CHARS))]).tobytes()
+                    if low != word:
+                        self[low] = stem
+                got = stem + end
             else:
                 got = self._whole(word)
         if len(self) >= self.limit:
@@ -209,10 +215,13 @@ def _drops_white_space(path: str) -> bool:
     )
 
 
-@functools.lru_cache(1)
+_encoder = functools.lru_cache(1)(TreeEncoder)
+
+
 def encoder(path: str, leaf_chars: int = 32768, cache_words: int = 300_000) -> TreeEncoder:
     """One encoder for each Python worker and tokenizer file."""
-    return TreeEncoder(path, leaf_chars, cache_words)
+    claim("bpe", _encoder.cache_clear)
+    return _encoder(path, leaf_chars, cache_words)
 
 
 def _as_tokens(enc: TreeEncoder, ids: list[bytes]) -> dict[str, list]:

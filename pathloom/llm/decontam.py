@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.bpe import _arrow
-from pathloom.llm.common import batch
+from pathloom.llm.common import batch, claim
 
 #: Bytes that belong to words once A-Z is lower-cased: 0-9, a-z and everything outside ASCII. The rest becomes a space.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -202,6 +202,7 @@ def _pass(docs, held, id_col, text_col, window, shard_chars, ddl, schema) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(held)
 
     def run(batches):
+        claim("suffixes", lambda: None)
         test = TestSuffixes(shared.value, window)
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
@@ -271,6 +272,7 @@ def remove(
         at = docs.columns.index(text_col)
 
         def run(batches):
+            claim("suffixes", lambda: None)
             test = TestSuffixes(shared.value, window)
             for b in batches:
                 texts, keep, done = b.column(at).to_pylist(), [], 0

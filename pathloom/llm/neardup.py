@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.bpe import _arrow
-from pathloom.llm.common import batch, connected_components, cut, store
+from pathloom.llm.common import batch, claim, connected_components, cut, store
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -106,6 +106,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands:
     out = pa.schema([("id", _arrow(kind)), ("n", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
+        claim("neardup", _WORD_HASH.clear)
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 s = b.slice(k, 1024)
@@ -126,6 +127,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width:
     out = pa.schema([("id", _arrow(kind)), ("hashes", pa.binary())])
 
     def run(batches):
+        claim("neardup", _WORD_HASH.clear)
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 s = b.slice(k, 512)
@@ -141,6 +143,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     out = pa.schema([("a", _arrow(kind)), ("b", _arrow(kind))])
 
     def run(batches):
+        claim("neardup links", lambda: None)
         for t in batches:
             keep = []
             for x, y in zip(t.column(2), t.column(3), strict=True):
@@ -170,7 +173,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     ka, kb = both[pa_] == a, both[pb] == b
     pa_, la, pb, lb = pa_[ka], la[ka], pb[kb], lb[kb]
     ca, cb = np.bincount(pa_, minlength=len(both)), np.bincount(pb, minlength=len(both))
-    common = ca.astype(np.int64) * cb > 0.01 * len(left) * len(right) + 16
+    common = ca.astype(np.int64) * cb > 0.005 * len(left) * len(right) + 16
     place = np.cumsum(common) - 1
     width = 2048
     for lo in range(0, int(common.sum()), width):
@@ -183,18 +186,17 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     ra, rb = ~common[pa_], ~common[pb]
     order = np.argsort(pb[rb], kind="stable")
     keys, rows = pb[rb][order], lb[rb][order]
-    for s in range(0, int(ra.sum()), 65536):
-        p, l = pa_[ra][s : s + 65536], la[ra][s : s + 65536]
-        lo, hi = np.searchsorted(keys, p), np.searchsorted(keys, p, side="right")
-        n = hi - lo
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        out += np.bincount(np.repeat(l, n) * len(right) + rows[at], minlength=out.size).reshape(out.shape).astype(np.int32) if out.size < 1 << 22 or n.sum() * 4 > out.size else _added(out.shape, np.repeat(l, n), rows[at])
-    return out
-
-
-def _added(shape: tuple[int, int], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    out = np.zeros(shape, np.int32)
-    np.add.at(out, (i, j), 1)
+    p, l = pa_[ra], la[ra]
+    lo = np.searchsorted(keys, p)
+    n = np.searchsorted(keys, p, side="right") - lo
+    total, start = np.cumsum(n), 0
+    while start < len(p):
+        # as many as make about a million pairs of places at once, one at least
+        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + 1_000_000, side="right")))
+        m = n[start:end]
+        at = np.repeat(lo[start:end] - np.cumsum(m) + m, m) + np.arange(m.sum())
+        np.add.at(out, (np.repeat(l[start:end], m), rows[at]), 1)
+        start = end
     return out
 
 
@@ -220,6 +222,7 @@ def _block_links(blocks: DataFrame, kind, per_cent: int) -> DataFrame:
     out = pa.schema([("a", _arrow(kind)), ("b", _arrow(kind))])
 
     def run(batches):
+        claim("neardup links", lambda: None)
         key, own, other = None, [], []
         for t in batches:
             keys = list(zip(*(t.column(k).to_pylist() for k in range(3)), strict=True))

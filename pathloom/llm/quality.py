@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.bpe import _arrow
-from pathloom.llm.common import batch, crc_mod
+from pathloom.llm.common import batch, claim, crc_mod
 from pathloom.llm.sampling import labelled_ids, texts_of
 
 #: Character classes: lower or other letter, upper letter, digit, white space, sentence mark, other.
@@ -205,7 +205,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(texts_of(docs, ids, id_col, text_col, max_chars), share)
 
 
-def score_batches(chain: Chain, texts: list[str | None], chars: int = 2 << 20):
+def score_batches(chain: Chain, texts: list[str | None], chars: int = 1 << 19):
     """Scores of many texts, in groups of about ``chars`` characters."""
     out, at = [], 0
     while at < len(texts):
@@ -225,6 +225,7 @@ def score_table(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches):
+        claim("quality", lambda: None)
         for b in batches:
             yield batch({id_col: b.column(0), "score": score_batches(shared.value, b.column(1).to_pylist())}, out)
 
@@ -245,6 +246,7 @@ def keep_good(docs: DataFrame, chain: Chain, text_col: str = "text", threshold:
     at = docs.columns.index(text_col)
 
     def run(batches):
+        claim("quality", lambda: None)
         for b in batches:
             yield b.filter(pa.array(score_batches(shared.value, b.column(at).to_pylist()) >= threshold))
 
