@@ -183,9 +183,9 @@ def digest(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
             for row in range(b.num_rows):
                 part, segment, doc_ids, lengths, data = (b.column(k)[row] for k in range(5))
                 seg, n, at = Segment(data.as_py()), np.asarray(lengths.values), 0
-                crc = []
+                ids, crc = seg.slice(0, len(seg)).astype("<u4", copy=False), []
                 for k in n.tolist():
-                    crc.append(zlib.crc32(seg.slice(at, at + k).astype("<u4", copy=False)))
+                    crc.append(zlib.crc32(ids[at : at + k]))
                     at += k
                 yield batch({
                     id_col: doc_ids.values, "part": [part.as_py()] * len(n), "segment": [segment.as_py()] * len(n), "within": np.cumsum(n) - n, "n_tokens": n, "ids_crc32": crc,
