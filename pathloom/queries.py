@@ -6,6 +6,7 @@ which gives a cyclic multigraph for walks and paths.
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,8 +29,19 @@ def _vid(col: str, kind: int):
     return (F.col(col).cast("long") * 10 + kind).alias("_vid")
 
 
+_SPACES: weakref.WeakKeyDictionary[SparkSession, dict[str, Space]] = weakref.WeakKeyDictionary()
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Space:
-    """The test tables as a space. Edge ranks are surrogates: lines of one order and part are numbered in a fixed order."""
+    """The test tables as a space, put together once for each session and folder: only plans are kept, no data."""
+    held = _SPACES.setdefault(spark, {})
+    if sf_dir not in held:
+        held[sf_dir] = _graph(spark, sf_dir)
+    return held[sf_dir]
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> Space:
+    """Tags and edges of the tables. Edge ranks are surrogates: lines of one order and part are numbered in a fixed order."""
     def t(name):
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
