@@ -11,7 +11,7 @@ bounded size; each block is one pass over the training table and items never cro
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.bpe import _arrow
-from pathloom.llm.common import batch, claim
+from pathloom.llm.common import batch, claim, store
 
 #: Bytes that belong to words once A-Z is lower-cased: 0-9, a-z and everything outside ASCII. The rest becomes a space.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -191,13 +191,16 @@ def find_contamination(
         ("longest_item", _arrow(item_kind)), ("longest_at", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("place", pa.int64()),
     ])
     ddl = f"{id_col} {kind.simpleString()}, n_words long, n_hit long, items array<{item_kind.simpleString()}>, longest long, longest_item {item_kind.simpleString()}, longest_at long, spans array<array<long>>"
-    tests = list(blocks(items, item_col, item_text, block_bytes))
-    if len(tests) > 1:
-        return _many_blocks(docs, tests, id_col, text_col, item_kind, window, shard_chars, ddl, schema)
-    return _pass(docs, tests[0], id_col, text_col, window, shard_chars, ddl, schema).drop("spans")
+    tests = blocks(items, item_col, item_text, block_bytes)
+    first = next(tests)
+    second = next(tests, None)
+    if second is not None:
+        return _many_blocks(docs, itertools.chain((first, second), tests), id_col, text_col, window, shard_chars, ddl, schema)
+    return _pass(docs, first, id_col, text_col, window, shard_chars, ddl, schema)[0].drop("spans")
 
 
-def _pass(docs, held, id_col, text_col, window, shard_chars, ddl, schema) -> DataFrame:
+def _pass(docs, held, id_col, text_col, window, shard_chars, ddl, schema):
+    """Find one block's windows in every document: the rows and the broadcast they use."""
     schema = pa.schema([f for f in schema if f.name != "place"])
     shared = docs.sparkSession.sparkContext.broadcast(held)
 
@@ -216,11 +219,12 @@ def _pass(docs, held, id_col, text_col, window, shard_chars, ddl, schema) -> Dat
                 yield batch({id_col: ids.slice(at, end - at), "n_hit": [sum(e - s for s, e in r["spans"]) for r in rows]} | {k: [r[k] for r in rows] for k in ("n_words", "items", "longest", "longest_item", "longest_at", "spans")}, schema)
                 at = end
 
-    return docs.select(id_col, text_col).mapInArrow(run, ddl)
+    return docs.select(id_col, text_col).mapInArrow(run, ddl), shared
 
 
-def _many_blocks(docs, tests, id_col, text_col, item_kind, window, shard_chars, ddl, schema) -> DataFrame:
-    """One pass for each block; what the passes say of a row is merged by (id, text digest).
+def _many_blocks(docs, tests, id_col, text_col, window, shard_chars, ddl, schema) -> DataFrame:
+    """One pass for each block, written before the next block is collected, so that one block is held at a time; what the
+    passes say of a row is merged by (id, text digest).
 
     Rows with equal id and text give equal results, so each is computed once and repeated as often as it occurs.
     """
@@ -234,7 +238,9 @@ def _many_blocks(docs, tests, id_col, text_col, item_kind, window, shard_chars,
     inner = pa.schema([pa.field("_k", to_arrow_type(kind)) if f.name == id_col else f for f in schema])
     inner_ddl = ddl.replace(f"{id_col} {docs.schema[id_col].dataType.simpleString()}", f"_k {kind.simpleString()}", 1)
     for held in tests:
-        one = _pass(wide, held, "_k", text_col, window, shard_chars, inner_ddl, inner)
+        one, shared = _pass(wide, held, "_k", text_col, window, shard_chars, inner_ddl, inner)
+        one = store(one, "block")
+        shared.destroy()
         parts = one if parts is None else parts.unionByName(one)
     best = F.max_by(F.struct("longest", "longest_item", "longest_at"), F.col("longest"))
     merged = parts.groupBy("_k").agg(
@@ -266,9 +272,10 @@ def remove(
     With a test set of one block, rows are dropped where they are read. With more, rows are matched by id and text
     digest, so rows that share an id are judged each by its own text.
     """
-    tests = list(blocks(items, item_col, item_text, block_bytes))
-    if len(tests) == 1:
-        shared = docs.sparkSession.sparkContext.broadcast(tests[0])
+    tests = blocks(items, item_col, item_text, block_bytes)
+    first = next(tests)
+    if next(tests, None) is None:
+        shared = docs.sparkSession.sparkContext.broadcast(first)
         at = docs.columns.index(text_col)
 
         def run(batches):
