@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.values import SemanticError, is_true, ordering
+from pathloom.values import SemanticError, ordering
 
 
 def project(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -14,8 +14,8 @@ def project(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def where(df: DataFrame, condition: Column) -> DataFrame:
-    """Rows whose condition is true; null drops a row."""
-    return df.where(is_true(condition))
+    """Rows whose condition is true; null drops a row. The condition reaches the scan as it is."""
+    return df.where(condition.cast("boolean"))
 
 
 def dedup(df: DataFrame) -> DataFrame:

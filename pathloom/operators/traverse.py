@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pathloom.operators.setops import union_versions
 from pathloom.runtime import cut
-from pathloom.values import SemanticError, is_true
+from pathloom.values import SemanticError
 
 #: After so many hops a frontier is written out, so that plans and recomputation stay bounded.
 CUT_EVERY = 3
@@ -79,7 +79,7 @@ def get_neighbors(view: DataFrame, start: DataFrame, vid: str = "_vid", conditio
     here = start.select(F.col(vid).alias("_vid")).where("_vid is not null").distinct()
     rows = here.join(view, here["_vid"] == view["_from"]).drop("_vid")
     if condition is not None:
-        rows = rows.where(is_true(condition))
+        rows = rows.where(condition)
     count = per_vertex_limit if per_vertex_limit is not None else per_vertex_sample
     if count is None:
         return rows
@@ -123,7 +123,7 @@ def traverse(
         raise SemanticError("the bounds of a variable-length pattern are out of order")
     props = props or []
     if edge_filter is not None:
-        view = view.where(is_true(edge_filter))
+        view = view.where(edge_filter)
     edges = view.select(F.col("_from").alias("__from"), F.col("_to").alias("__to"), edge_struct(props).alias("__e"))
     kind = edges.schema["__e"].dataType.simpleString()
 

@@ -166,6 +166,8 @@ def _in(a: Typed, b: Typed) -> Typed:
         raise SemanticError("IN needs a list")
     if isinstance(b.literal, (list, tuple)) and len(b.literal) == 0:
         return Typed(F.when(a.col.isNotNull(), F.lit(False)), "bool")
+    if isinstance(b.literal, (list, tuple)) and None not in b.literal and a.kind == b.element and a.kind in ("int", "string"):
+        return Typed(a.col.isin(*b.literal), "bool")  # a form that scans understand
     return Typed(F.exists(b.col, lambda x: _equal(a, Typed(x, b.element)).col), "bool")
 
 

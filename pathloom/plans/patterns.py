@@ -376,7 +376,7 @@ def _view(st: State, e: Edge, direction: str, right: bool, props, everything) ->
 def _edge_scan(st: State, e: Edge, name: str, aliases: list[str], props, everything) -> None:
     """Bind the first edge of a pattern and both its ends from the edge table alone."""
     view, wanted, cond = _view(st, e, e.direction, True, props, everything)
-    view = view if cond is None else view.where(V.is_true(cond))
+    view = view if cond is None else view.where(cond)
     df = view.select(F.col("_from").alias(aliases[0]), F.col("_to").alias(aliases[1]), traverse.edge_struct(wanted).alias(name))
     st.df = df if st.df is None else joins.cross(st.df, df)
     st.info[name] = {f.name: V.kind_of(f.dataType)[0] for f in view.schema if f.name in wanted}

@@ -377,7 +377,7 @@ class Session:
                 return c if len(types) == 1 else Typed(F.when(F.col("_type") == e.args[0].args[0], c.col), c.kind)
             return None
 
-        return V.is_true(compile_expr(where, Scope({}, special, self.parameters)).col)
+        return compile_expr(where, Scope({}, special, self.parameters)).col
 
     def r_find_path(self, s, piped):
         space, over = self.space, s["over"]
