@@ -34,6 +34,7 @@ class State:
     kinds: dict[str, str] = field(default_factory=dict)  # variable -> node, edge, edges, path, value
     info: dict[str, dict] = field(default_factory=dict)  # edge variable -> kinds of its properties
     hidden: int = 0
+    everything: list = field(default_factory=list)  # all expressions of the query
 
     @property
     def space(self):
@@ -46,8 +47,8 @@ class State:
 
 def run(session, clauses) -> DataFrame:
     """Run the clauses of a pattern query."""
-    st = State(session)
     everything = [e for c in clauses for e in _expressions(c)]
+    st = State(session, everything=everything)
     for c in clauses:
         if c.kind == "match":
             _match(st, c, everything)
@@ -178,10 +179,11 @@ def _match(st: State, c, everything: list[Expr]) -> None:
         base = st.df
         shared = [n.alias for p in c["patterns"] for n in p.nodes if n.alias in st.kinds]
         shared = list(dict.fromkeys(shared))
-        inner = State(st.session, base.select(*shared).distinct() if shared else None, {k: v for k, v in st.kinds.items() if k in shared}, dict(st.info), st.hidden + 1000)
+        inner = State(st.session, base.select(*shared).distinct() if shared else None, {k: v for k, v in st.kinds.items() if k in shared}, dict(st.info), st.hidden + 1000, st.everything)
         _bind(inner, c["patterns"], conds, everything)
         new = {k: v for k, v in inner.kinds.items() if k not in st.kinds}
-        right = inner.df.select(*shared, *new)
+        read = [x for x in inner.df.columns if any(x.startswith(f"__p_{v}_") for v in new)]
+        right = inner.df.select(*shared, *new, *read)
         st.df = joins.join(base, right, [(s, s) for s in shared], "left") if shared else base.join(right, F.lit(True), "left")
         st.kinds |= new
         st.info |= {k: v for k, v in inner.info.items() if k in new}
@@ -237,11 +239,12 @@ def _start(st: State, n: Node, alias: str, conds: list[Expr]) -> None:
     """Bind a node that begins a pattern."""
     space = st.space
     if n.labels:
-        df = space.tag(n.labels[0]).select(F.col("_vid").alias(alias))
+        tag = n.labels[0]
+        df = space.tag(tag).select(F.col("_vid").alias(alias), *_tag_columns(st, n, alias, tag))
         extra = n.labels[1:]
     else:
         df, extra = space.vertices().select(F.col("_vid").alias(alias)), []
-    inner = State(st.session, df, {alias: "node"}, {}, st.hidden)
+    inner = State(st.session, df, {alias: "node"}, {}, st.hidden, st.everything)
     for label in extra:
         inner.df = inner.df.join(space.tag(label).select(F.col("_vid").alias("__l")), F.col(f"`{alias}`") == F.col("__l"), "left_semi")
     _node_props(inner, n, alias)
@@ -266,11 +269,33 @@ def _bound_node(st: State, n: Node, alias: str, conds: list[Expr], again: bool)
     if not again:
         st.kinds[alias] = "node"
     for label in n.labels:
-        st.df = st.df.join(st.space.tag(label).select(F.col("_vid").alias("__l")), F.col(f"`{alias}`") == F.col("__l"), "left_semi")
+        # one join checks the tag and brings the properties that any expression uses
+        cols = [c for c, name in zip(_tag_columns(st, n, alias, label), _tag_names(st, n, alias, label), strict=True) if name not in st.df.columns]
+        tag = st.space.tag(label).select(F.col("_vid").alias("__l"), *cols)
+        st.df = st.df.join(tag, F.col(f"`{alias}`") == F.col("__l"), "inner" if cols else "left_semi").drop("__l")
     _node_props(st, n, alias)
     _apply(st, conds)
 
 
+def _used(st: State, n: Node, alias: str, tag: str) -> list[str]:
+    """Properties of a tag that the pattern's map or any expression reads from a vertex."""
+    have = st.space.tags[tag].columns if tag in st.space.tags else []
+    out = {p for p in n.props if p in have}
+    for root in st.everything:
+        for e in root.walk():
+            if e.op == "attr" and e.args[0] == Expr("attr", (Expr("name", (alias,)), tag)) and e.args[1] in have:
+                out.add(e.args[1])
+    return sorted(out - {"_vid"})
+
+
+def _tag_names(st: State, n: Node, alias: str, tag: str) -> list[str]:
+    return [f"__p_{alias}_{tag}_{p}" for p in _used(st, n, alias, tag)]
+
+
+def _tag_columns(st: State, n: Node, alias: str, tag: str) -> list:
+    return [F.col(f"`{p}`").alias(name) for p, name in zip(_used(st, n, alias, tag), _tag_names(st, n, alias, tag), strict=True)]
+
+
 def _pattern(st: State, p: Pattern, conds: list[Expr], everything: list[Expr]) -> None:
     aliases = [n.alias or st.fresh("n") for n in p.nodes]
     if p.shortest:
