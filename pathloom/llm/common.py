@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     own = getattr(spark, "_pathloom_shared", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="pathloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark._pathloom_shared = own
     return own
 
