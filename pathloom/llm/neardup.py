@@ -245,14 +245,14 @@ def _block_links(blocks: DataFrame, kind, per_cent: int) -> DataFrame:
 
 
 def components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, per_cent: int = 80, bands: int = 32, rows: int = 5, star_pairs: int = 3, block_shingles: int = 250_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, per_cent: int = 80, bands: int = 32, rows: int = 5, star_pairs: int = 3, block_shingles: int = 250_000, block_rows: int = 2048
 ) -> DataFrame:
     """Rows ``(id, n_shingles, component_id, kept)``, one for each row of ``docs``.
 
     component_id is the smallest id reachable by links, itself included; kept tells whether it is the row's own. Empty
     sets link with nothing. With 32 bands of 5 a pair at exactly 0.8 is missed with a probability of 3 in a million.
     ``star_pairs``: pairs of each document that are verified before its buckets are looked at again; it bounds work, not
-    results. ``block_shingles``: shingles on one side of a block. Rows that share an id are taken as one document with either text. Null ids get a null component.
+    results. ``block_shingles``, ``block_rows``: shingles and sets on one side of a block, about. Rows that share an id are taken as one document with either text. Null ids get a null component.
     """
     signed = store(_signatures(docs, id_col, text_col, width, bands, rows), "signatures")
     some = signed.where("n > 0 and id is not null")
@@ -281,8 +281,8 @@ def components(
     # what the stars left open, bucket by bucket
     placed = members.join(found, members["id"] == found["node"], "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
-    several = parts.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("c", "component", "w")).alias("m"), F.sum("w").alias("w")).where("k > 1")
-    several = several.select("bucket", F.col("m.component").alias("main"), F.ceil(F.col("w") / block_shingles).cast("int").alias("all_blocks"), F.ceil((F.col("w") - F.col("m.w")) * 2 / block_shingles).cast("int").alias("own_blocks"))
+    several = parts.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("c", "component", "w")).alias("m"), F.sum("w").alias("w"), F.sum("c").alias("c")).where("k > 1")
+    several = several.select("bucket", F.col("m.component").alias("main"), F.greatest(F.ceil(F.col("w") / block_shingles), F.ceil(F.col("c") / block_rows)).cast("int").alias("all_blocks"), F.greatest(F.ceil((F.col("w") - F.col("m.w")) * 2 / block_shingles), F.ceil((F.col("c") - F.col("m.c")) * 2 / block_rows)).cast("int").alias("own_blocks"))
     open_ = placed.join(several, "bucket")
     h = F.xxhash64("id", "bucket")
     own = open_.where("component <> main").select("bucket", "id", "component", F.lit(True).alias("own"), F.pmod(h, "own_blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"))
