@@ -1,15 +1,14 @@
 """Line deduplication with content-defined chunks (operator 1).
 
-A text is a sequence of lines. A rolling hash over the hashes of the last lines decides where a chunk ends, so chunks
-begin and end at the same lines wherever a passage stands: shifting it moves no boundary inside it. A line with many
-words is a chunk of its own. Chunks that recur anywhere in the table are removed except for their first occurrence, after
-the bytes of all occurrences have been compared. A passage's first and last lines share chunks with what surrounds it, so
-a removed chunk grows over neighbouring lines that occurred before, too.
+A text is a sequence of lines. A line with many words is a chunk of its own; among shorter lines a chunk begins at each
+line and ends after so many lines and words, so a passage has the same chunks wherever it stands. Chunks that recur
+anywhere in the table are removed except for their first occurrence, after the bytes of all occurrences have been
+compared. Chunks overlap, so those of a repeated passage cover it up to its last lines, and a removed chunk grows over
+neighbouring lines that occurred before, too.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -17,40 +16,43 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.bpe import _arrow
 from pathloom.llm.common import batch, claim, store
-from pathloom.llm.neardup import _ODD, _mix
 
 
 def _hash(text: str, mark: bytes = b"") -> int:
     return xxhash.xxh3_64_intdigest(mark + text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def chunks(text: str | None, window: int = 2, divisor: int = 2, min_words: int = 20, few_words: int = 10) -> list[tuple[int, int, str]]:
-    """Chunks that may be removed: ``(first line, end line, text)``.
+def chunks(text: str | None, window: int = 2, min_words: int = 20, few_words: int = 10) -> list[tuple[int, int, str]]:
+    """Chunks that may be removed: ``(first line, end line, text)``, in order of their first lines.
 
-    window: lines that the rolling hash spans; divisor: one boundary in so many lines on average, after two lines at
-    least; min_words: a line of this many words stands alone. Chunks of several lines but under ``few_words`` words, and
-    single lines of fewer than ``min_words``, are no chunks to remove. None for null or empty text.
+    A line of ``min_words`` is a chunk of its own. Among shorter lines a chunk begins at every line with a word and ends as
+    soon as it has ``window`` lines with a word and ``few_words`` words: what it holds depends on nothing around it. A chunk
+    that overlaps the last equal one of this text is left out. None for null or empty text.
     """
     if not text:
         return []
     lines = text.split("\n")
     words = [len(x.split()) for x in lines]
     n = len(lines)
-    with np.errstate(over="ignore"):
-        h = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines), np.uint64, n)
-        rolling = np.zeros(n, np.uint64)
-        for k in range(min(window, n)):
-            rolling[k:] += h[: n - k] * _ODD[k]
-        ends = (_mix(rolling) % np.uint64(divisor) == 0).tolist()
-    out, first = [], 0
-    for k in range(n):
-        alone = words[k] >= min_words
-        last = k + 1 == n or alone or words[k + 1] >= min_words
-        if last or (ends[k] and k + 1 - first >= 2):
-            total = sum(words[first : k + 1])
-            if total >= min_words or (k + 1 - first >= 2 and total >= few_words):
-                out.append((first, k + 1, "\n".join(lines[first : k + 1])))
-            first = k + 1
+    out, last = [], {}
+    end = total = filled = 0  # lines first to end hold so many words and lines with a word
+    for first in range(n):
+        if words[first] >= min_words:
+            out.append((first, first + 1, lines[first]))
+            end, total, filled = first + 1, 0, 0
+            continue
+        while end < n and words[end] < min_words and (filled < window or total < few_words):
+            total += words[end]
+            filled += words[end] > 0
+            end += 1
+        if words[first]:
+            if filled >= window and total >= few_words:
+                piece = "\n".join(lines[first:end])
+                if last.get(piece, 0) <= first:
+                    out.append((first, end, piece))
+                    last[piece] = end
+            total -= words[first]
+            filled -= 1
     return out
 
 
@@ -59,18 +61,25 @@ def short_lines(text: str | None, min_words: int = 20) -> list[tuple[int, str]]:
     return [(k, x) for k, x in enumerate((text or "").split("\n")) if x.strip() and len(x.split()) < min_words]
 
 
-def grown(n_lines: int, spans: list[tuple[int, int]], repeated: set[int]) -> list[tuple[int, int]]:
-    """Removed spans, each grown over neighbouring lines that are in ``repeated``, as disjoint spans."""
+def grown(n_lines: int, spans: list[tuple[int, int]], repeated: set[int], blank: frozenset[int] | set[int] = frozenset()) -> list[tuple[int, int]]:
+    """Removed spans, each grown over neighbouring lines that are in ``repeated``, as disjoint spans.
+
+    Lines in ``blank`` go where the lines on both sides of them go.
+    """
     gone: set[int] = set()
-    for first, end in spans:
-        while first > 0 and first - 1 in repeated:
-            first -= 1
-        while end < n_lines and end in repeated:
-            end += 1
+    for first, end in sorted(spans):
+        at = first - 1
+        while at not in gone and (at in repeated or at in blank):
+            first = at if at in repeated else first
+            at -= 1
+        at = end
+        while at not in gone and (at in repeated or at in blank):
+            end = at + 1 if at in repeated else end
+            at += 1
         gone.update(range(first, end))
     out: list[tuple[int, int]] = []
     for k in sorted(gone):
-        if out and out[-1][1] == k:
+        if out and all(x in blank for x in range(out[-1][1], k)):
             out[-1] = (out[-1][0], k + 1)
         else:
             out.append((k, k + 1))
@@ -86,7 +95,7 @@ def remove_lines(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
     return "\n".join(lines), gone
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", window: int = 2, divisor: int = 2, min_words: int = 20, few_words: int = 10) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", window: int = 2, min_words: int = 20, few_words: int = 10) -> DataFrame:
     """All rows and columns of ``docs`` with repeated chunks removed from the text, and ``_n_lines`` and ``_n_removed``.
 
     The first occurrence by id, then by place, stays; so would chunks of equal hash but different bytes. ``length_col``, if there is such a column, gets the new length.
@@ -97,7 +106,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     docs = docs.drop("_n_lines", "_n_removed")
     slim = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text"))
-    options = (window, divisor, min_words, few_words)
+    options = (window, min_words, few_words)
 
     place_schema = pa.schema([("id", _arrow(kind)), ("key", pa.int64()), ("first", pa.int32()), ("end", pa.int32()), ("hash", pa.int64()), ("line", pa.bool_())])
 
@@ -149,7 +158,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 mine = [x for x in (c.as_py() or []) if not x["stays"] and x["hash"] not in shared.value]
                 spans = [(x["first"], x["end"]) for x in mine if not x["line"]]
                 if spans:
-                    spans = grown(total[-1], spans, {x["first"] for x in mine if x["line"]})
+                    blank = {k for k, x in enumerate(text.split("\n")) if not x.strip()}
+                    spans = grown(total[-1], spans, {x["first"] for x in mine if x["line"]}, blank)
                     text, n = remove_lines(text, spans)
                 texts.append(text)
                 gone.append(n)

@@ -171,3 +171,39 @@ def test_chunk_boundaries_resist_shifts():
     a = {c[2] for c in linededup.chunks("\n".join(lines))}
     b = {c[2] for c in linededup.chunks("\n".join(["new line at the top", *lines[3:]]))}
     assert len(a & b) >= len(b) - 3
+
+
+def test_repeated_passages_of_short_lines_go_whole(spark):
+    rng = random.Random(12)
+    fresh = iter(range(10**6))
+
+    def passage(shape):
+        return [" ".join(f"p{next(fresh)}" for _ in range(n)) if n else "" for n in shape]
+
+    shapes = [[18] * 3, [3] * 17, [1] * 50, [19, 2, 19, 2, 19], [5, 0, 30, 0, 5, 0, 30, 0, 4], *([rng.randint(1, 19) for _ in range(20)] for _ in range(8))]
+    passages = [passage(x) for x in shapes]
+    rows = []
+    for k in range(8):
+        lines = passage([rng.choice([4, 30])])
+        for p in rng.sample(passages, len(passages)):
+            lines += p + passage([rng.choice([4, 9, 30]) for _ in range(rng.randint(1, 4))])
+        rows.append((k, "\n".join(lines)))
+    counts = {}
+    for _, t in rows:
+        for x in t.split("\n"):
+            counts[x] = counts.get(x, 0) + 1
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(docs(spark, rows)).collect()}
+    assert got[0] == rows[0][1]
+    for k, t in rows[1:]:
+        assert got[k].split("\n") == [x for x in t.split("\n") if counts[x] == 1]
+
+
+def test_short_repeats_inside_one_text_stay(spark):
+    rows = [(1, "0\n" * 11), (2, "a b c\nd e f\nnew one here"), (3, "a b c\nother words\nd e f")]
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup(docs(spark, rows)).collect()} == dict(rows)
+
+
+def test_growth_over_blank_lines():
+    assert linededup.grown(9, [(2, 4)], {5}, {4, 6}) == [(2, 6)]
+    assert linededup.grown(9, [(2, 4), (5, 7)], {8}, {4, 7}) == [(2, 9)]
+    assert linededup.grown(9, [(4, 7), (2, 5), (3, 6)], {0, 1}) == [(0, 7)]
