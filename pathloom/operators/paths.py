@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.operators.setops import union_versions
-from pathloom.operators.traverse import edge_struct, same_edge
+from pathloom.operators.traverse import CUT_EVERY, edge_struct, same_edge
 from pathloom.runtime import cut
 
 DEFAULT_STEPS = 5
+#: After so many levels the ids seen so far are written out as one table.
+CUT_SEEN = 8
 
 
 def _ids(df: DataFrame, col: str, name: str) -> DataFrame:
@@ -28,6 +30,7 @@ def distances(view: DataFrame, start: DataFrame, steps: int, vid: str = "_vid",
         if layer.isEmpty():
             break
         seen = seen.union(layer)
+        seen = cut(seen) if k % CUT_SEEN == 0 else seen
     return seen
 
 
@@ -58,24 +61,30 @@ def shortest_paths(view: DataFrame, sources: DataFrame, targets: DataFrame, step
         preds.append(hop)
         layer = cut(hop.select("_start", "_vid").distinct())
         seen = seen.union(layer.withColumn("_depth", F.lit(k)))
+        seen = cut(seen) if k % CUT_SEEN == 0 else seen
         # a source whose targets are all found needs no further level
         hit = seen.join(goal, seen["_vid"] == goal["_end"]).groupBy("_start").agg(F.count("*").alias("n"))
         total = goal.count() if open_pairs is None else open_pairs
         open_pairs = total
         done = hit.where(F.col("n") >= total).select("_start")
         layer = layer.join(done, "_start", "left_anti")
-    found = []
-    for k in range(max(least, 1), len(preds) + 1):
-        ends = preds[k - 1].join(goal, preds[k - 1]["_vid"] == goal["_end"], "left_semi").where(F.col("_vid") != F.col("_start"))
-        path = ends.select("_start", F.col("_vid").alias("_end"), F.col("_prev").alias("__at"), F.array("_prev", "_vid").alias("_nodes"), F.array("__e").alias("_rels"))
-        for j in range(k - 1, 0, -1):
-            p = preds[j - 1].select(F.col("_start").alias("__s"), F.col("_vid").alias("__v"), "_prev", "__e")
-            path = path.join(p, (path["_start"] == p["__s"]) & (path["__at"] == p["__v"])).select("_start", "_end", F.col("_prev").alias("__at"), F.concat(F.array("_prev"), "_nodes").alias("_nodes"), F.concat(F.array("__e"), "_rels").alias("_rels"))
-        found.append(path.select("_start", "_end", F.lit(k).cast("long").alias("_length"), "_nodes", "_rels"))
-    if not found:
+    # from the last level to the first: paths of all lengths grow at their front together
+    path = None
+    for k in range(len(preds), 0, -1):
+        p = preds[k - 1]
+        if path is not None:
+            back_one = p.select(F.col("_start").alias("__s"), F.col("_vid").alias("__v"), "_prev", "__e")
+            path = path.join(back_one, (path["_start"] == back_one["__s"]) & (path["__at"] == back_one["__v"])).select("_start", "_end", "_length", F.col("_prev").alias("__at"), F.concat(F.array("_prev"), "_nodes").alias("_nodes"), F.concat(F.array("__e"), "_rels").alias("_rels"))
+        if k >= least:
+            ends = p.join(goal, p["_vid"] == goal["_end"], "left_semi").where(F.col("_vid") != F.col("_start"))
+            ends = ends.select("_start", F.col("_vid").alias("_end"), F.lit(k).cast("long").alias("_length"), F.col("_prev").alias("__at"), F.array("_prev", "_vid").alias("_nodes"), F.array("__e").alias("_rels"))
+            path = ends if path is None else path.union(ends)
+        if path is not None and k > 1 and (len(preds) - k) % CUT_EVERY == CUT_EVERY - 1:
+            path = cut(path)
+    if path is None:
         e = edges.select(F.col("__from").alias("_start"), F.col("__to").alias("_end"), F.lit(0).cast("long").alias("_length"), F.array("__from").alias("_nodes"), F.array("__e").alias("_rels"))
         return e.limit(0)
-    return union_versions(found)
+    return path.drop("__at")
 
 
 def all_paths(view: DataFrame, sources: DataFrame, targets: DataFrame, steps: int = DEFAULT_STEPS, src: str = "_vid", dst: str = "_vid", no_loop: bool = False, props: list[str] | None = None, edge_filter: Column | None = None) -> DataFrame:

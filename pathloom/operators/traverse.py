@@ -1,4 +1,4 @@
-"""Traversals. All loops are bounded; every hop is one join of a frontier with an edge view.
+"""Traversals. Every hop is one join of a frontier with an edge view; loops without a bound end with an empty frontier.
 
 Walks of GO statements keep a *set* of reached ids between steps, so a step counts edges that leave distinct vertices.
 Pattern traversals enumerate *trails*: no edge is used twice, whichever way it is walked.
@@ -15,6 +15,8 @@ from pathloom.values import SemanticError
 
 #: After so many hops a frontier is written out, so that plans and recomputation stay bounded.
 CUT_EVERY = 3
+#: Most hops of a pattern that names no upper bound: no id or edge table reaches it, the frontier is empty before.
+OPEN_END = 2**31 - 1
 
 
 def _frontier(df: DataFrame, hop: int) -> DataFrame:
@@ -116,7 +118,7 @@ def traverse(
     A single edge is one value, a variable-length one a list of values (``single`` False); ``least`` 0 keeps each row with
     an empty list. Edges of earlier columns of the same pattern (``used``: name, is list) are not used again.
     ``edge_filter`` holds for every edge and is applied before the loop. ``into``: ``to_col`` exists already and must be
-    reached. ``nodes_col`` adds the list of ids between the two ends.
+    reached. ``nodes_col`` adds the list of ids between the two ends. With ``most`` OPEN_END the loop ends when no trail goes on.
     """
     most = least if most is None else most
     if least < 0 or most < least:
@@ -158,6 +160,9 @@ def traverse(
         step = nxt
         if k >= least:
             found.append(step)
+        if len(found) >= 16:
+            # long trails: the plan of what is found stays small
+            found = [cut(union_versions(found))]
     out = union_versions(found) if found else step.limit(0)
     if into:
         out = out.where(F.col("__here").eqNullSafe(F.col(f"`{to_col}`"))).drop("__here")

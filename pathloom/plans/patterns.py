@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pathloom import values as V
 from pathloom.operators import joins, paths, relational, traverse
+from pathloom.operators.traverse import OPEN_END
 from pathloom.operators.aggregate import aggregate
 from pathloom.plans.ast import Column, Edge, Expr, Node, Pattern
 from pathloom.plans.expressions import Scope, compile_expr, constant, is_aggregate
@@ -21,8 +22,6 @@ from pathloom.values import SemanticError, Typed
 
 _FLIP = {"out": "in", "in": "out", "both": "both"}
 _WHOLE = {"properties", "tags", "labels", "keys"}
-#: Largest number of hops of a pattern that names no upper bound.
-OPEN_END = 8
 
 
 @dataclass
@@ -409,7 +408,7 @@ def _edge_scan(st: State, e: Edge, name: str, aliases: list[str], props, everyth
 
 def _hop(st: State, e: Edge, name: str, here: str, there: str, right: bool, used, props, nodes_col, everything) -> None:
     view, wanted, cond = _view(st, e, e.direction if right else _FLIP[e.direction], right, props, everything)
-    least, most = (e.least, e.most if e.most is not None else max(e.least, OPEN_END)) if e.variable else (1, 1)
+    least, most = (e.least, e.most if e.most is not None else OPEN_END) if e.variable else (1, 1)
     st.df = traverse.traverse(view, st.df, here, there, name, least, most, list(used), wanted, not e.variable, cond, into=there in st.kinds, nodes_col=nodes_col)
     st.info[name] = {f.name: V.kind_of(f.dataType)[0] for f in view.schema if f.name in wanted}
 
@@ -425,7 +424,7 @@ def _shortest(st: State, p: Pattern, aliases: list[str], conds: list[Expr]) -> N
             _start(st, n, alias, conds)
     types = st.space.edge_types(e.types)
     view = st.space.edge_view(types, e.direction, [])
-    least, most = (e.least, e.most if e.most is not None else max(e.least, OPEN_END)) if e.variable else (1, 1)
+    least, most = (e.least, e.most if e.most is not None else OPEN_END) if e.variable else (1, 1)
     found = paths.shortest_paths(view, st.df, st.df, most, aliases[0], aliases[1], single=p.shortest == "single", least=max(least, 1))
     out = p.alias or st.fresh("p")
     found = found.select(F.col("_start").alias("__a"), F.col("_end").alias("__b"), F.struct(F.transform("_nodes", lambda v: F.struct(v.alias("_vid"))).alias("_nodes"), F.col("_rels")).alias(out))

@@ -7,6 +7,7 @@ from pathloom.plans.session import Session
 from pathloom.sources.files import load_space, read_csv, save_space
 from pathloom.sources.space import Space
 from pathloom.values import SemanticError
+from tests import brute
 
 
 @pytest.fixture(scope="module")
@@ -120,3 +121,19 @@ def test_csv_and_saved_spaces(spark, tmp_path):
 def test_syntax_errors(text):
     with pytest.raises(SemanticError):
         parse(text)
+
+
+def test_patterns_without_upper_bound(spark):
+    # a chain of 20 edges that ends in a loop of 3, and a shortcut over 4 of its edges
+    pairs = [(k, k + 1) for k in range(20)] + [(20, 18), (2, 6)]
+    nodes = spark.createDataFrame([(k, k) for k in range(21)], "_vid long, n long")
+    edges = spark.createDataFrame(pairs, "_src long, _dst long")
+    s = Session(spark, Space(spark, "chain", "int64").with_tag("t", nodes).with_edge("e", edges))
+    walks = brute.trails(pairs, 0, 1, len(pairs))
+    for bound, least in (("", 1), ("9..", 9)):
+        assert rows(s, f"MATCH (a:t)-[e:e*{bound}]->(b) WHERE id(a) == 0 RETURN size(e) AS n, id(b) AS b") == sorted(((len(w), end) for w, end in walks if len(w) >= least), key=str)
+    short = {(a, b): len(e) for a, b, _, e in brute.shortest(pairs, [0, 1], [5, 19, 20], 30)}
+    for f in ("shortestPath", "allShortestPaths"):
+        got = rows(s, f"MATCH p = {f}((a:t)-[:e*]->(b:t)) WHERE id(a) IN [0, 1] AND id(b) IN [5, 19, 20] RETURN id(a) AS a, id(b) AS b, length(p) AS l")
+        assert got == sorted(((a, b, n) for (a, b), n in short.items()), key=str)
+    assert max(short.values()) == 17
