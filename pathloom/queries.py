@@ -281,6 +281,64 @@ def _versions(space):
     return setops.union_versions([traverse.expand(view, _ids(space, 2), k) for k in (1, 2)])
 
 
+# The same operators over all hand-offs, hubs included, with starts and targets taken from a table. DuckDB's recursion is too
+# slow there, so these have no SQL; tests compare them with tests/brute.py.
+def _segment(space: Space, segment: str) -> DataFrame:
+    """Ids of all customers of a market segment."""
+    return space.tag("customer").where(F.col("segment") == segment).select("_vid")
+
+
+@_call("t1_expand_whole", None)
+def _expand_whole(space):
+    return traverse.expand(space.edge_view(["handoff"], props=[]), _segment(space, "BUILDING"), 3)
+
+
+@_call("t2_expand_with_origin_whole", None)
+def _expand_origin_whole(space):
+    return traverse.expand(space.edge_view(["handoff"], props=[]), _segment(space, "BUILDING"), 2, origin=True)
+
+
+@_call("t3_expand_all_m_to_n_whole", None)
+def _expand_all_whole(space):
+    return traverse.expand_all(space.edge_view(["handoff"], props=[]), _segment(space, "BUILDING"), 2, 3).select(F.col("_step").alias("step"), F.col("_from").alias("s"), F.col("_to").alias("d"), F.col("_rank").alias("r"))
+
+
+@_call("t7_trails_whole", None)
+def _trails_whole(space):
+    rows = traverse.traverse(space.edge_view(["handoff"], props=[]), _segment(space, "BUILDING").withColumnRenamed("_vid", "a"), "a", "b", "e", 1, 2, single=False)
+    return rows.select("a", "b", F.array_join(F.transform("e", lambda x: x["_rank"].cast("string")), ",").alias("ranks"))
+
+
+@_call("t11_all_shortest_paths_whole", None)
+def _all_shortest_whole(space):
+    return _path_text(paths.shortest_paths(space.edge_view(["handoff"], props=[]), _segment(space, "BUILDING"), _segment(space, "MACHINERY")))
+
+
+@_call("t13_shortest_lengths_whole", None)
+def _many_whole(space):
+    return paths.shortest_paths(space.edge_view(["handoff"], props=[]), _segment(space, "BUILDING"), _segment(space, "MACHINERY"), single=True).select("_start", "_end", "_length")
+
+
+@_call("t14_all_paths_whole", None)
+def _all_paths_whole(space):
+    return _path_text(paths.all_paths(space.edge_view(["handoff"], props=[]), _segment(space, "BUILDING"), _segment(space, "MACHINERY"), 2))
+
+
+@_call("t15_noloop_paths_whole", None)
+def _noloop_whole(space):
+    return _path_text(paths.all_paths(space.edge_view(["handoff"], props=[]), _segment(space, "BUILDING"), _segment(space, "MACHINERY"), 2, no_loop=True))
+
+
+@_call("t17_subgraph_edges_whole", None)
+def _subgraph_edges_whole(space):
+    return subgraph.subgraph(space.edge_view(["handoff"], props=[]), _segment(space, "BUILDING"), 2)[1].select(F.col("_step").alias("step"), F.col("_from").alias("s"), F.col("_to").alias("d"), F.col("_rank").alias("r"))
+
+
+@_call("t17_subgraph_vertices_whole", None)
+def _subgraph_vertices_whole(space):
+    return subgraph.subgraph(space.edge_view(["handoff"], props=[]), _segment(space, "BUILDING"), 2)[0].select(F.col("_step").alias("step"), F.col("_vid").alias("v"))
+
+
 _say("t14_find_all_path_statement", "FIND ALL PATH FROM 2 TO 32, 42 OVER handoff WHERE handoff.value > 120 UPTO 3 STEPS YIELD path AS p | YIELD id(startNode($-.p)) AS a, id(endNode($-.p)) AS b, length($-.p) AS n", f"WITH RECURSIVE {H}, e AS (SELECT * FROM h WHERE v > 120), w AS (SELECT s AS a, d AS b, [r] AS rs, 1 AS n FROM e WHERE s = 2 UNION ALL SELECT w.a, e.d, list_append(rs, e.r), n + 1 FROM w JOIN e ON e.s = w.b WHERE n < 3 AND NOT list_contains(rs, e.r)) SELECT CAST(a AS BIGINT) AS a, b, CAST(n AS BIGINT) AS n FROM w WHERE b IN (32, 42)")
 _say("t15_find_noloop_statement", "FIND NOLOOP PATH FROM 2 TO 32, 42 OVER handoff WHERE handoff.value > 120 UPTO 3 STEPS YIELD path AS p | YIELD count(*) AS n", f"WITH RECURSIVE {H}, e AS (SELECT * FROM h WHERE v > 120), w AS (SELECT s AS a, d AS b, [s, d] AS ns, 1 AS n FROM e WHERE s = 2 AND s <> d UNION ALL SELECT w.a, e.d, list_append(ns, e.d), n + 1 FROM w JOIN e ON e.s = w.b WHERE n < 3 AND NOT list_contains(ns, e.d)) SELECT count(*) AS n FROM w WHERE b IN (32, 42)")
 _say("t17_subgraph_statement", "GET SUBGRAPH 2 STEPS FROM 2 OUT in_nation, in_region YIELD VERTICES AS v, EDGES AS e | YIELD size($-.v) AS v, size($-.e) AS e", "SELECT CAST(1 AS BIGINT) AS v, CAST(x AS BIGINT) AS e FROM (SELECT unnest([1, 1, 0]) AS x)")
