@@ -1,4 +1,6 @@
 import datetime
+import math
+import random
 
 import pytest
 
@@ -29,3 +31,30 @@ def test_feed(spark, tmp_path):
     words = spark.readStream.schema("id long, text string").parquet(str(tmp_path / "texts"))
     fulltext_listener(words, "id", "text", str(tmp_path / "index"), str(tmp_path / "cp")).awaitTermination(120)
     assert {(r["term"], r["tf"]) for r in spark.read.parquet(str(tmp_path / "index")).collect()} == {("red", 2), ("fish", 1)}
+
+
+@pytest.mark.parametrize("text,options", [
+    ("POLYGON((0 0, 10 0, 10 10, 0 10, 0 0))", (0,)), ("POLYGON((0 0, 10 0, 10 10, 0 10, 0 0))", (10,)), ("POLYGON((-80 -60, 80 -60, 80 60, -80 60, -80 -60))", (4,)),
+    ("POLYGON((20 10, 40 10.01, 20 10.02, 20 10))", (0, 30, 20)), ("LINESTRING(-30 -20, 50 40)", (0, 30, 8)), ("LINESTRING(170 5, -170 8)", (0, 12, 30)), ("POINT(44 36)", (0, 30, 8, 50000.0)),
+])
+def test_covering_holds_every_point(text, options):
+    shape = geo.parse_wkt(text)
+    got = geo.covering(shape, *options)
+    assert len(set(got)) == len(got) and (options[0] or len(got) <= max(6, *options[2:3], 8))
+    levels = {(60 - (x & -x).bit_length() + 1) // 2 for x in got}
+    assert min(levels) >= options[0]
+    rng, kept = random.Random(3), set(got)
+    lons, lats = zip(*shape[1][0], strict=True)
+    seen = 0
+    for _ in range(3000):
+        if shape[0] == "linestring":
+            t, (a, b) = rng.random(), geo._xyz(shape[1][0])
+            v = a * (1 - t) + b * t
+            x, y = math.degrees(math.atan2(v[1], v[0])), math.degrees(math.atan2(v[2], math.hypot(v[0], v[1])))
+        else:
+            x, y = rng.uniform(min(lons) - 1, max(lons) + 1), rng.uniform(min(lats) - 1, max(lats) + 1)
+            if geo.distance(shape, ("point", [[(x, y)]])) > (options[3] if len(options) > 3 else 0):
+                continue
+        seen += 1
+        assert any(geo.cell_id(x, y, k) in kept for k in levels), (x, y)
+    assert seen > 5
