@@ -17,6 +17,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pathloom.llm.bpe import _arrow
 from pathloom.llm.common import batch, crc_mod
@@ -143,8 +144,10 @@ def _model(texts: tuple[tuple[str, str], ...]) -> Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 60, chars_per_language: int = 40_000, max_chars: int = 20_000) -> dict[str, str]:
     """Training text by language from a bounded sample of the given rows: at most ``docs_per_language`` texts and
-    ``chars_per_language`` characters each, distinct lines only. Rows without language or text are left out."""
-    ids = labelled_ids(docs.where(docs[text_col].isNotNull()), id_col, lang_col, docs_per_language)
+    ``chars_per_language`` characters each, distinct lines only. Of a text the first ``max_chars`` characters count; rows
+    without language, or without a letter there, are left out before the sample is drawn."""
+    docs = docs.withColumn(text_col, F.substring(text_col, 1, max_chars)).where(F.col(text_col).rlike(r"\p{L}"))
+    ids = labelled_ids(docs, id_col, lang_col, docs_per_language)
     lines: dict[str, dict[str, None]] = {}
     for _, text, lang in texts_of(docs, ids, id_col, text_col, max_chars):
         held = lines.setdefault(lang, {})

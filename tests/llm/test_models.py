@@ -130,3 +130,9 @@ def test_region_is_the_best_contiguous_stretch():
     best = max(sum(scores[a:b]) for a in range(len(page)) for b in range(a + 1, len(page) + 1))
     a, b = html.region(page, w)
     assert sum(scores[a:b]) == pytest.approx(best)
+
+
+def test_language_sample_has_long_texts_and_no_empty_ones(spark):
+    rows = [(k, "lange Rede ohne Ende " * 1200, "de") for k in range(3)] + [(k, "", "fr") for k in range(10, 40)] + [(50, "une seule phrase", "fr")]
+    got = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), docs_per_language=1)
+    assert set(got) == {"de", "fr"} and "lange rede" in got["de"] and "une seule phrase" in got["fr"]
