@@ -1,26 +1,51 @@
-"""Durable lineage cuts for iterative operators."""
+"""The folder that executors share, and durable lineage cuts for iterative operators."""
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that every executor shares: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder serves a session in one process (tests); on a cluster that would lose rows, so
+    it is an error there.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = getattr(spark, "_pathloom_shared", None)
+    if own is None:
+        own = tempfile.mkdtemp(prefix="pathloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark._pathloom_shared = own
+    return own
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system of a path and the path itself, as the JVM knows them."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write a step's rows to the shared checkpoint folder (``spark.checkpoint.dir``) and go on from there.
+    """Write a step's rows to the shared folder and go on from there.
 
-    A lost executor loses nothing, and the plan of the next step starts small. A temporary folder is used only where the
-    setting is missing, as in tests.
+    A lost executor loses nothing, and the plan of the next step starts small. The files go when the application ends, or
+    before where Spark is told to clean checkpoints.
     """
-    session = df.sparkSession
-    sc = session.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = session.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="pathloom-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_dir(spark))
+        fs, where = hadoop_path(spark, sc._jsc.sc().getCheckpointDir().get())
+        fs.deleteOnExit(where)
     return df.checkpoint(eager=True)
