@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import batch, claim
+from pathloom.llm.common import batch, held
 
 #: Python's str.split() also splits at these, the tokenizers' white space does not hold them.
 _EXTRA_SPACE = re.compile("[\x1c-\x1f]")
@@ -215,13 +215,9 @@ def _drops_white_space(path: str) -> bool:
     )
 
 
-_encoder = functools.lru_cache(1)(TreeEncoder)
-
-
 def encoder(path: str, leaf_chars: int = 32768, cache_words: int = 300_000) -> TreeEncoder:
     """One encoder for each Python worker and tokenizer file."""
-    claim("bpe", _encoder.cache_clear)
-    return _encoder(path, leaf_chars, cache_words)
+    return held(("bpe", path, leaf_chars, cache_words), lambda: TreeEncoder(path, leaf_chars, cache_words))
 
 
 def _as_tokens(enc: TreeEncoder, ids: list[bytes]) -> dict[str, list]:

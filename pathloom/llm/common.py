@@ -2,48 +2,46 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.runtime import cut, hadoop_path, shared_dir
+
+__all__ = ["batch", "connected_components", "crc_mod", "cut", "discard", "held", "map_batches", "shared_dir", "store", "table", "temporary"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the corpus tables through Spark's own reader (works for any Hadoop path)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor shares: ``spark.checkpoint.dir``; a temporary one only where unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    own = getattr(spark, "_pathloom_shared", None)
-    if own is None:
-        own = tempfile.mkdtemp(prefix="pathloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark._pathloom_shared = own
-    return own
+def temporary(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    fs, where = hadoop_path(spark, path)
+    fs.deleteOnExit(where)
+    return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage durably: rows go to the shared checkpoint folder, so a lost executor loses nothing."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def store(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+    """Write a columnar table to the shared folder and read it back."""
+    path = temporary(df.sparkSession, label)
+    df.write.option("compression", compression).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._pathloom_path = path
+    return out
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Write a compressed columnar table to the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def discard(*stored: DataFrame) -> None:
+    """Remove stored tables that no result reads any more."""
+    for df in stored:
+        fs, where = hadoop_path(df.sparkSession, df._pathloom_path)
+        fs.delete(where, True)
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -59,17 +57,19 @@ def batch(columns: dict[str, list | pa.Array], schema: pa.Schema) -> pa.RecordBa
     )
 
 
-_DROPS: dict[str, Callable[[], None]] = {}
+_HELD: tuple[Hashable, Any] = (None, None)
 
 
-def claim(owner: str, drop: Callable[[], None]) -> None:
-    """Tell that a task of ``owner`` starts in this Python worker: what other operators remember here is dropped.
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a task remembers for later tasks of its Python worker: one value, that of the last key asked for.
 
-    Workers are used again by later stages; without this each would hold the memories of all operators it ever ran.
+    Workers are used again by later stages; holding one value bounds a worker to the memory of the operator it runs.
     """
-    _DROPS[owner] = drop
-    for name in [n for n in _DROPS if n != owner]:
-        _DROPS.pop(name)()
+    global _HELD
+    if _HELD[0] != key:
+        _HELD = (None, None)  # freed before the next is made
+        _HELD = (key, make())
+    return _HELD[1]
 
 
 def crc_mod(column: str, modulus: int):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.bpe import _arrow
-from pathloom.llm.common import batch, claim, store
+from pathloom.llm.common import batch, store
 
 #: Bytes that belong to words once A-Z is lower-cased: 0-9, a-z and everything outside ASCII. The rest becomes a space.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -31,50 +31,58 @@ def words(text: str | None) -> list[bytes]:
 
 
 class TestSuffixes:
-    """The windows of a block of items, ready for binary search.
+    """The windows of a block of items, ready for binary search: arrays and one vocabulary, built once and broadcast.
 
-    window: words of a window; an item with fewer words, but not none, is one window.
+    window: words of a window; an item with fewer words, but not none, is one window. Equal windows of one item are
+    all kept, as each has its own place.
     """
 
     def __init__(self, items: list[tuple[object, list[bytes]]], window: int = 13):
         self.window = window
-        self.ids = [i for i, w in items if w]
-        texts = [w for _, w in items if w]
-        vocabulary = {w: n for n, w in enumerate(dict.fromkeys(x for t in texts for x in t), 1)}
-        self.vocabulary = vocabulary
-        coded = [np.array([vocabulary[x] for x in t], np.int64) for t in texts]
-        rows, owner, offset, length = [], [], [], []
-        for n, c in enumerate(coded):
-            size = min(window, len(c))
-            for s in range(len(c) - size + 1):
-                rows.append(np.concatenate((c[s : s + size], np.zeros(window - size, np.int64))))
-                owner.append(n)
-                offset.append(s)
-                length.append(size)
-        self.owner, self.offset, self.length = (np.array(x, np.int64) for x in (owner, offset, length))
-        self.bits = max(1, len(vocabulary).bit_length() + 1)
+        items = [(i, w) for i, w in items if w]
+        self.ids = [i for i, _ in items]
+        self.vocabulary: dict[bytes, int] = {}
+        code = self.vocabulary
+        counts = np.array([len(w) for _, w in items], np.int64)
+        # after each item as many zeros as a window needs, so that short items are padded
+        begin = np.cumsum(counts + window) - (counts + window)
+        flat = np.zeros(int((counts + window).sum()), np.int64)
+        for b, (_, w) in zip(begin.tolist(), items, strict=True):
+            flat[b : b + len(w)] = [code.setdefault(x, len(code) + 1) for x in w]
+        windows = np.maximum(counts - window + 1, 1)
+        self.owner = np.repeat(np.arange(len(items)), windows)
+        self.offset = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+        self.length = np.minimum(counts, window)[self.owner]
+        self.bits = max(1, len(code).bit_length() + 1)
         per = 62 // self.bits
         self.columns = [(c, min(c + per, window)) for c in range(0, window, per)]
         self.top = (1 << self.bits) - 1
-        low = np.array(rows, np.int64).reshape(-1, window)
-        high = np.where(np.arange(window) < self.length[:, None], low, self.top)
-        self.low, self.high = self.keys(low), self.keys(high)
-        self.first = np.zeros(len(vocabulary) + 1, bool)
-        for c in coded:
-            if len(c) == 1:
-                self.first[c[0]] = True
-        self.pairs = np.unique(np.concatenate([c[:-1] * (len(vocabulary) + 1) + c[1:] for c in coded] or [np.zeros(0, np.int64)]))
-
-    def keys(self, rows: np.ndarray) -> list[np.ndarray]:
-        """Rows of ``window`` word codes as a few integers that sort alike."""
+        start = begin[self.owner] + self.offset
+        self.low = self.keys(flat, start)
+        self.high = self._open_ended() if (self.length < window).any() else self.low
+        self.first = np.zeros(len(code) + 1, bool)
+        self.first[flat[begin[counts == 1]]] = True
+        both = (flat[:-1] > 0) & (flat[1:] > 0)
+        self.pairs = np.unique(flat[:-1][both] * (len(code) + 1) + flat[1:][both])
+
+    def keys(self, flat: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+        """The ``window`` word codes after each start as a few integers that sort alike."""
         out = []
         for a, b in self.columns:
-            key = np.zeros(len(rows), np.int64)
+            key = np.zeros(len(start), np.int64)
             for c in range(a, b):
-                key = (key << self.bits) | rows[:, c]
+                key = (key << self.bits) | flat[start + c]
             out.append(key)
         return out
 
+    def _open_ended(self) -> list[np.ndarray]:
+        """Keys with the greatest code in all places after the words of a short item."""
+        out = []
+        for (a, b), low in zip(self.columns, self.low, strict=True):
+            free = np.clip(b - np.maximum(self.length, a), 0, b - a)
+            out.append(low | ((np.int64(1) << (free * self.bits)) - 1))
+        return out
+
 
 def _search(sorted_keys: list[np.ndarray], wanted: list[np.ndarray], right: bool) -> np.ndarray:
     """Binary search of many keys (of several integers each) at once."""
@@ -117,7 +125,7 @@ class Shard:
         else:
             start = start[test.first[flat[start]]]
         start = start[start + test.window <= len(flat)]
-        keys = test.keys(np.stack([flat[start + c] for c in range(test.window)], 1)) if len(start) else [np.zeros(0, np.int64)] * len(test.columns)
+        keys = test.keys(flat, start)
         order = np.lexsort(keys[::-1])
         self.suffixes, self.keys, self.size = start[order], [k[order] for k in keys], len(flat)
 
@@ -125,9 +133,11 @@ class Shard:
         """All occurrences: (test window, position in the shard)."""
         if not len(self.suffixes) or not len(test.owner):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        lo, hi = _search(self.keys, test.low, False), _search(self.keys, test.high, True)
+        # most suffixes of a large test set find no training suffix with their first words: one look-up each
+        some = np.flatnonzero(np.searchsorted(self.keys[0], test.low[0]) < np.searchsorted(self.keys[0], test.high[0], side="right"))
+        lo, hi = _search(self.keys, [k[some] for k in test.low], False), _search(self.keys, [k[some] for k in test.high], True)
         n = hi - lo
-        which = np.repeat(np.arange(len(n)), n)
+        which = np.repeat(some, n)
         return which, self.suffixes[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
@@ -178,7 +188,7 @@ def blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int):
 
 def find_contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    window: int = 13, block_bytes: int = 32 << 20, shard_chars: int = 8 << 20,
+    window: int = 13, block_bytes: int = 8 << 20, shard_chars: int = 8 << 20,
 ) -> DataFrame:
     """Rows ``(id, n_words, n_hit, items, longest, longest_item, longest_at)``, one for each row of ``docs``.
 
@@ -202,11 +212,10 @@ def find_contamination(
 def _pass(docs, held, id_col, text_col, window, shard_chars, ddl, schema):
     """Find one block's windows in every document: the rows and the broadcast they use."""
     schema = pa.schema([f for f in schema if f.name != "place"])
-    shared = docs.sparkSession.sparkContext.broadcast(held)
+    shared = docs.sparkSession.sparkContext.broadcast(TestSuffixes(held, window))
 
     def run(batches):
-        claim("suffixes", lambda: None)
-        test = TestSuffixes(shared.value, window)
+        test = shared.value
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             at = 0
@@ -263,24 +272,32 @@ def digest(found: DataFrame, id_col: str = "doc_id", share: int = 20) -> DataFra
     )
 
 
+def affected(row: dict, share: int = 20, window: int = 13) -> bool:
+    """Whether a scanned text is affected: it holds a whole window word for word, or the hits of items that are shorter
+    than a window make one in ``share`` of its words at least (a benchmark item of a word or two says little by itself)."""
+    hit = sum(e - s for s, e in row["spans"])
+    return row["longest"] >= window or (hit > 0 and share * hit >= row["n_words"])
+
+
 def remove(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    share: int = 20, window: int = 13, block_bytes: int = 32 << 20, shard_chars: int = 8 << 20,
+    share: int = 20, window: int = 13, block_bytes: int = 8 << 20, shard_chars: int = 8 << 20,
 ) -> DataFrame:
-    """Documents without the contaminated ones (hit words make one in ``share`` at least), all columns kept.
+    """Documents without the affected ones (see ``affected``), all columns kept.
 
     With a test set of one block, rows are dropped where they are read. With more, rows are matched by id and text
-    digest, so rows that share an id are judged each by its own text.
+    digest, so rows that share an id are judged each by its own text. Null and empty texts have no words and stay, as
+    does everything if the test set is empty; repeated rows are all kept or all removed; of columns only id and text are
+    looked at, whatever the others are called.
     """
     tests = blocks(items, item_col, item_text, block_bytes)
     first = next(tests)
     if next(tests, None) is None:
-        shared = docs.sparkSession.sparkContext.broadcast(first)
+        shared = docs.sparkSession.sparkContext.broadcast(TestSuffixes(first, window))
         at = docs.columns.index(text_col)
 
         def run(batches):
-            claim("suffixes", lambda: None)
-            test = TestSuffixes(shared.value, window)
+            test = shared.value
             for b in batches:
                 texts, keep, done = b.column(at).to_pylist(), [], 0
                 while done < len(texts):
@@ -288,15 +305,13 @@ def remove(
                     while end < len(texts) and (end == done or size + len(texts[end] or "") <= shard_chars):
                         size += len(texts[end] or "")
                         end += 1
-                    for r in scan(texts[done:end], test):
-                        hit = sum(e - s for s, e in r["spans"])
-                        keep.append(not (hit and share * hit >= r["n_words"]))
+                    keep += [not affected(r, share, window) for r in scan(texts[done:end], test)]
                     done = end
                 yield b.filter(pa.array(keep, pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)
     keyed = docs.select(F.struct(F.col(id_col).alias("i"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("d")).alias("_pl_key"), F.col(text_col).alias("_pl_text"))
     bad = find_contamination(keyed, items, "_pl_key", "_pl_text", item_col, item_text, window, block_bytes, shard_chars)
-    bad = bad.where(f"n_hit > 0 and {share} * n_hit >= n_words").select(F.col("_pl_key.i").alias("_pl_i"), F.col("_pl_key.d").alias("_pl_d")).distinct()
+    bad = bad.where(f"longest >= {window} or (n_hit > 0 and {share} * n_hit >= n_words)").select(F.col("_pl_key.i").alias("_pl_i"), F.col("_pl_key.d").alias("_pl_d")).distinct()
     on = F.col(id_col).eqNullSafe(F.col("_pl_i")) & (F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("_pl_d"))
     return docs.join(bad, on, "left_anti")

@@ -10,18 +10,18 @@ phrases is a sum over words, and words that recur are parsed once in each worker
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.bpe import _arrow
-from pathloom.llm.common import batch, crc_mod
-from pathloom.llm.sampling import labelled_ids, texts_of
+from pathloom.llm.common import batch, crc_mod, held
+from pathloom.llm.sampling import labelled_ids
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -137,23 +137,53 @@ class _Rows(dict):
         return n
 
 
-@functools.lru_cache(2)
-def _model(texts: tuple[tuple[str, str], ...]) -> Model:
-    return Model(dict(texts))
+def pieces(text: str | None, words: int = 40) -> list[str]:
+    """Distinct normalised lines of a text, long ones cut after every so many words; those without a letter are left out."""
+    out: dict[str, None] = {}
+    for line in (text or "").splitlines():
+        found = _LETTERS.findall(line.lower())
+        for k in range(0, len(found), words):
+            out[" " + " ".join(found[k : k + words]) + " "] = None
+    return list(out)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 60, chars_per_language: int = 40_000, max_chars: int = 20_000) -> dict[str, str]:
-    """Training text by language from a bounded sample of the given rows: at most ``docs_per_language`` texts and
-    ``chars_per_language`` characters each, distinct lines only. Of a text the first ``max_chars`` characters count; rows
-    without language, or without a letter there, are left out before the sample is drawn."""
-    docs = docs.withColumn(text_col, F.substring(text_col, 1, max_chars)).where(F.col(text_col).rlike(r"\p{L}"))
+def _sampled(found: list[str], chars: int) -> list[str]:
+    """Pieces in the order of their hashes, up to ``chars`` characters together, one at least."""
+    out, size = [], 0
+    for p in sorted(found, key=lambda p: (xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")), p)):
+        if out and size + len(p) > chars:
+            break
+        out.append(p)
+        size += len(p)
+    return out
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 60, chars_per_language: int = 40_000) -> dict[str, str]:
+    """Training text by language from a bounded sample of the given rows.
+
+    ``docs_per_language`` whole texts of each language are sampled; of all their distinct lines (in pieces of 40 words)
+    those with the smallest hashes are learned from, up to ``chars_per_language`` characters, so every part of every
+    sampled text has the same chance. Rows without id, language or a letter are left out before the sample is drawn.
+    """
+    docs = docs.where(F.col(text_col).rlike(r"\p{L}"))
     ids = labelled_ids(docs, id_col, lang_col, docs_per_language)
-    lines: dict[str, dict[str, None]] = {}
-    for _, text, lang in texts_of(docs, ids, id_col, text_col, max_chars):
-        held = lines.setdefault(lang, {})
-        for line in text.splitlines():
-            held.setdefault(normal(line))
-    return {k: "".join(v)[:chars_per_language] for k, v in lines.items()}
+    if not ids:
+        return {}
+    kind = docs.schema[id_col].dataType.simpleString()
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(list(ids.items()), f"_i {kind}, _l string"))
+    out = pa.schema([("lang", pa.string()), ("piece", pa.string())])
+
+    def run(batches):
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                found = _sampled(pieces(text.as_py()), chars_per_language)
+                yield batch({"lang": [lang] * len(found), "piece": found}, out)
+
+    chosen = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.col(lang_col).cast("string").alias("_k")).join(wanted, "_i").where("_k = _l")
+    got: dict[str, set[str]] = {}
+    for r in chosen.select("_l", "_t").mapInArrow(run, "lang string, piece string").collect():
+        got.setdefault(r[0], set()).add(r[1])
+    return {k: "".join(_sampled(list(v), chars_per_language)) for k, v in got.items()}
 
 
 def predict(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,7 +196,7 @@ def predict(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted(texts.items())))
 
     def run(batches):
-        model = _model(shared.value)
+        model = held(("langid", shared.value), lambda: Model(dict(shared.value)))
         for b in batches:
             got = model.score(b.column(1).to_pylist())
             yield batch({id_col: b.column(0), "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}, out)
@@ -175,7 +205,12 @@ def predict(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_out: int = 1) -> DataFrame:
-    """Fit on the rows outside the held-out fold and predict all rows: ``(id, held_out, lang_pred, score)``."""
+    """Fit on the rows outside the held-out fold and predict all rows: ``(id, held_out, lang_pred, score)``.
+
+    Null, empty and letterless texts give ``und`` and 0; ties go to the first language by name; a row without id belongs to
+    no held-out fold and is never learned from; repeated rows give repeated results; an empty table gives no rows, and a
+    table without languages ``und`` throughout; other columns are not looked at.
+    """
     fold = crc_mod(id_col, folds)
     texts = fit(docs.where(fold != held_out), id_col, text_col, lang_col)
-    return predict(docs, texts, id_col, text_col).select(id_col, (fold == held_out).alias("held_out"), "lang_pred", "score")
+    return predict(docs, texts, id_col, text_col).select(id_col, F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")

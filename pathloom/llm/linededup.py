@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.bpe import _arrow
-from pathloom.llm.common import batch, claim, store
+from pathloom.llm.common import batch, discard, held, store
 
 
 def _hash(text: str, mark: bytes = b"") -> int:
@@ -111,7 +111,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     place_schema = pa.schema([("id", _arrow(kind)), ("key", pa.int64()), ("first", pa.int32()), ("end", pa.int32()), ("hash", pa.int64()), ("line", pa.bool_())])
 
     def place(batches):
-        claim("lines", lambda: None)
+        held("lines", dict)
         for b in batches:
             ids, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
             for s in range(0, len(ids), 512):
@@ -127,12 +127,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     placed = store(slim.mapInArrow(place, f"id {kind.simpleString()}, key long, first int, end int, hash long, line boolean"), "chunks")
     repeated = placed.groupBy("hash").agg(F.count("*").alias("c"), F.min(F.struct("id", "key", "first")).alias("keep")).where("c > 1").drop("c")
+    # written first: a plain join of two tables, whose hot hashes Spark splits over tasks
+    repeated = store(repeated, "repeated")
     found = placed.join(repeated, "hash").select("id", "key", "first", "end", "hash", "line", (F.struct("id", "key", "first") == F.col("keep")).alias("stays"))
     # a document's own chunks: bounded by the document
     lists = found.groupBy("id", "key").agg(F.collect_list(F.struct("first", "end", "hash", "line", "stays")).alias("_chunks"), F.bool_and("line").alias("l")).where("not l").select(F.col("id").alias("_id"), F.col("key").alias("_key"), "_chunks")
     keyed = docs.withColumn("_own", key)
     joined = keyed.join(lists, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left").drop("_id", "_key", "_own")
-    joined = _stored(joined)
+    joined = store(joined, "lines", "zstd")
+    discard(placed, repeated)
 
     at, size = joined.columns.index(text_col), joined.columns.index("_chunks")
     length_at = joined.columns.index(length_col) if length_col and length_col in docs.columns else -1
@@ -175,13 +178,3 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     from pyspark.sql.types import LongType, StructField, StructType
 
     return joined.mapInArrow(cut_out, StructType([*(f for f in joined.schema.fields if f.name != "_chunks"), StructField("_n_lines", LongType()), StructField("_n_removed", LongType())]))
-
-
-def _stored(df: DataFrame) -> DataFrame:
-    import uuid
-
-    from pathloom.llm.common import shared_dir
-
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/lines-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.bpe import _arrow
-from pathloom.llm.common import batch, claim, connected_components, cut, store
+from pathloom.llm.common import batch, connected_components, cut, discard, held, store
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -48,18 +48,17 @@ class _WordHash(dict):
         return h
 
 
-_WORD_HASH = _WordHash()
-
-
-def shingles(text: str | None, width: int = 5) -> np.ndarray:
+def shingles(text: str | None, width: int = 5, known: _WordHash | None = None) -> np.ndarray:
     """Sorted distinct hashes of all ``width``-word shingles of a text, A-Z lower-cased, words between ASCII white space.
 
     Fewer words than ``width``, but not none: the whole sequence is the one shingle. No words or null: an empty set.
+    ``known``: hashes of words seen before.
     """
+    known = _WordHash() if known is None else known
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORD_HASH.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = min(width, len(h))
     with np.errstate(over="ignore"):
         total = np.full(len(h) - n + 1, np.uint64(n), np.uint64)
@@ -106,13 +105,13 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands:
     out = pa.schema([("id", _arrow(kind)), ("n", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
-        claim("neardup", _WORD_HASH.clear)
+        known = held("neardup", _WordHash)
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 s = b.slice(k, 1024)
                 n, digest, band = [], [], []
                 for t in s.column(1):
-                    h = shingles(t.as_py(), width)
+                    h = shingles(t.as_py(), width, known)
                     n.append(len(h))
                     digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                     band.append(signature(h, bands, rows).view(np.int64) if len(h) else None)
@@ -127,11 +126,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width:
     out = pa.schema([("id", _arrow(kind)), ("hashes", pa.binary())])
 
     def run(batches):
-        claim("neardup", _WORD_HASH.clear)
+        known = held("neardup", _WordHash)
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 s = b.slice(k, 512)
-                yield batch({"id": s.column(0), "hashes": [shingles(t.as_py(), width).tobytes() for t in s.column(1)]}, out)
+                yield batch({"id": s.column(0), "hashes": [shingles(t.as_py(), width, known).tobytes() for t in s.column(1)]}, out)
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
     return slim.mapInArrow(run, f"id {kind.simpleString()}, hashes binary")
@@ -143,7 +142,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     out = pa.schema([("a", _arrow(kind)), ("b", _arrow(kind))])
 
     def run(batches):
-        claim("neardup links", lambda: None)
+        held("neardup links", dict)
         for t in batches:
             keep = []
             for x, y in zip(t.column(2), t.column(3), strict=True):
@@ -222,7 +221,7 @@ def _block_links(blocks: DataFrame, kind, per_cent: int) -> DataFrame:
     out = pa.schema([("a", _arrow(kind)), ("b", _arrow(kind))])
 
     def run(batches):
-        claim("neardup links", lambda: None)
+        held("neardup links", dict)
         key, own, other = None, [], []
         for t in batches:
             keys = list(zip(*(t.column(k).to_pylist() for k in range(3)), strict=True))
@@ -295,7 +294,12 @@ def components(
         found = cut(connected_components(old.union(more), "a", "b"))
 
     named = classes.select("class", F.col("id").alias("node")).join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
-    out = signed.select("id", "n", "class").join(named, "class", "left")
+    named = store(named, "named")
+    discard(classes, members, sets)
+    # empty sets are their own components: they never meet in one task of the join
+    slim = signed.select("id", "n", "class")
+    out = slim.where("class is not null").join(named, "class", "left").select("id", "n", "component")
+    out = out.unionByName(slim.where("class is null").select("id", "n", F.lit(None).cast(docs.schema[id_col].dataType).alias("component")))
     own = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), (own == F.col("id")).alias("kept"))
 

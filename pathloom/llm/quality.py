@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.bpe import _arrow
-from pathloom.llm.common import batch, claim, crc_mod
+from pathloom.llm.common import batch, crc_mod, held
 from pathloom.llm.sampling import labelled_ids, texts_of
 
 #: Character classes: lower or other letter, upper letter, digit, white space, sentence mark, other.
@@ -225,7 +225,7 @@ def score_table(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches):
-        claim("quality", lambda: None)
+        held("quality", dict)
         for b in batches:
             yield batch({id_col: b.column(0), "score": score_batches(shared.value, b.column(1).to_pylist())}, out)
 
@@ -241,12 +241,16 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Rows whose text scores at least ``threshold``, all columns kept; rows are filtered where they are read."""
+    """Rows whose text scores at least ``threshold``, all columns kept; rows are filtered where they are read.
+
+    Null and empty texts are scored as one empty line; a score equal to the threshold stays; repeated rows are all kept or
+    all dropped; an empty table gives no rows; of columns only the text is looked at.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     at = docs.columns.index(text_col)
 
     def run(batches):
-        claim("quality", lambda: None)
+        held("quality", dict)
         for b in batches:
             yield b.filter(pa.array(score_batches(shared.value, b.column(at).to_pylist()) >= threshold))
 

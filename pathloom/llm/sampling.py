@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,16 +12,18 @@ from pyspark.sql import functions as F
 def labelled_ids(rows: DataFrame, id_col: str, label_col: str, per_class: int) -> dict:
     """Up to ``per_class`` ids of each label, those with the smallest hash: ``id -> label``.
 
-    Labels are counted first; of each, rows whose hash lies below a share that keeps about twice ``per_class`` go on to be
-    ranked, so what meets in one task is bounded by the sample, not by the table or its partitions. (Should a share leave
+    Labels are counted first (few distinct ones, read by the driver); of each, rows whose hash lies below a share that
+    keeps about twice ``per_class`` go on to be ranked, so what meets in one task is bounded by the sample, not by the table or its partitions. (Should a share leave
     fewer than ``per_class``, the sample is that much smaller.) Rows without id or label are left out; an id that comes
     twice keeps its smallest label.
     """
     w = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
     slim = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id is not null and label is not null")
-    share = slim.groupBy("label").agg((F.lit(2.0 * per_class + 50) / F.count("*")).alias("share"))
+    # one row a label: the shares become part of the filter, so nothing is dealt out by label before it
+    counts = {r["label"]: r["n"] for r in slim.groupBy("label").agg(F.count("*").alias("n")).collect()}
     place = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = slim.join(share, "label").where(place < F.col("share")).select("id", "label")
+    within = [(F.col("label") == F.lit(k)) & (place < F.lit((2.0 * per_class + 50) / n)) for k, n in sorted(counts.items())]
+    some = slim.where(functools.reduce(operator.or_, within, F.lit(False)))
     top = some.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_class)
     out: dict = {}
     for r in sorted(top.select("id", "label").collect(), key=lambda r: (r["label"], r["id"]), reverse=True):

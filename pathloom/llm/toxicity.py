@@ -9,7 +9,6 @@ Votes are weighted by closeness and calibrated on the examples themselves, each
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 from collections import Counter
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.bpe import _arrow
-from pathloom.llm.common import batch, crc_mod
+from pathloom.llm.common import batch, crc_mod, held
 from pathloom.llm.sampling import labelled_ids, texts_of
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -161,11 +160,6 @@ def _platt(votes: np.ndarray, y: np.ndarray, stands: np.ndarray) -> tuple[float,
     return float(a), float(b)
 
 
-@functools.lru_cache(2)
-def _index(examples: tuple, options: tuple) -> Index:
-    return Index(list(examples), **dict(options))
-
-
 def score_table(docs: DataFrame, examples: list[tuple], id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows ``(id, score, evidence)`` for every row: whole texts, no shuffle.
 
@@ -178,7 +172,7 @@ def score_table(docs: DataFrame, examples: list[tuple], id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast((tuple(examples), tuple(sorted(options.items()))))
 
     def run(batches):
-        index = _index(*shared.value)
+        index = held(("toxicity", *shared.value), lambda: Index(list(shared.value[0]), **dict(shared.value[1])))
         for b in batches:
             got = [index.score(t.as_py()) for t in b.column(1)]
             yield batch({id_col: b.column(0), "score": [g[0] for g in got], "evidence": [[e | {"example": str(e["example"])} for e in g[1]] for g in got]}, out)

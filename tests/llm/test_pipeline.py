@@ -8,7 +8,7 @@ import __spark_entry__
 import corpus_pipeline
 from pathloom.llm import quality
 from tests.llm.test_duplicates import roots, shingle_set
-from tests.llm.test_texts import contamination, plain_dedup
+from tests.llm.test_texts import affected, plain_dedup
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -28,15 +28,45 @@ def test_stages_against_plain_python(spark):
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
     scores = dict(zip(rows, quality.score_batches(chain, list(rows.values())), strict=True))
     rows = {i: t for i, t in sorted(rows.items()) if scores[i] >= 0.3}
-    rows = plain_dedup(list(rows.items()))
+    rows = {i: t for i, t in plain_dedup(list(rows.items())).items() if t or not rows[i]}
     sets = {i: shingle_set(t, 5) for i, t in rows.items()}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     up = roots(list(sets), links)
     rows = {i: t for i, t in rows.items() if up[i] == i}
-    rows = {i: t for i, t in rows.items() if not (lambda n, h: h and 20 * h >= n)(*contamination(t, items, 13)[:2])}
+    rows = {i: t for i, t in rows.items() if not affected(t, items, 13)}
     state = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         state = stage(spark, state, str(DATA)).cache()
         assert state.columns == columns, name
     assert {r["doc_id"]: r["text"] for r in state.collect()} == rows
     assert corpus_pipeline.run(spark, str(DATA)).count() == len(rows)
+
+
+def test_stages_with_odd_rows(spark):
+    """Null, empty, very long and repeated texts, null ids, clashing names and empty tables, through every stage."""
+    long = " ".join(f"w{k % 977}" for k in range(40_000))
+    passage = "\n".join(f"shared line number {k} with some words of its own" for k in range(9))
+    item = " ".join(f"b{k}" for k in range(30))
+    rows = [(1, None), (2, ""), (3, long), (3, long), (None, "no id here"), (4, passage), (5, passage), (6, f"own words\n{passage}"), (7, "x " * 900 + item), (8, "a b c d e f g h")]
+    schema = "doc_id long, text string, _n_removed string, n_words int, component_id long"
+    docs = spark.createDataFrame([(i, t, "r", 1, 2) for i, t in rows], schema)
+    folder = str(spark.conf.get("spark.checkpoint.dir")) + "/odd"
+    spark.createDataFrame([(k, k % 2, 0) for k in range(20, 60)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(0, item), (1, None), (2, "")], "item_id long, text string").write.mode("overwrite").parquet(f"{folder}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def ids(frame):
+        return sorted(((r["doc_id"] or -1) for r in frame.collect()))
+
+    assert stages["quality classifier"](spark, docs, folder).columns == docs.columns  # no labelled texts: the model says nothing
+    lines = stages["line dedup"](spark, docs.drop("_n_removed"), folder)
+    assert ids(lines) == [-1, 1, 2, 3, 3, 4, 6, 7, 8]  # 5 held nothing but the passage
+    assert {r["doc_id"]: r["text"] for r in lines.collect()}[6] == "own words"
+    assert ids(stages["MinHash near-dedup"](spark, docs, folder)) == [-1, 1, 2, 3, 3, 4, 7, 8]  # 5 and 6 are near 4
+    assert ids(stages["benchmark decontamination"](spark, docs, folder)) == [-1, 1, 2, 3, 3, 4, 5, 6, 8]
+    coded = stages["BPE encoding and decoding"](spark, docs, folder).collect()
+    assert len(coded) == len(rows) and {r["doc_id"]: r["n_tokens"] for r in coded if r["doc_id"] in (1, 2)} == {1: 0, 2: 0}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+    spark.createDataFrame([], "item_id long, text string").write.mode("overwrite").parquet(f"{folder}/benchmark.parquet")
+    assert stages["benchmark decontamination"](spark, docs, folder).count() == len(rows)

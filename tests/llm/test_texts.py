@@ -106,12 +106,19 @@ def contamination(text, items, window):
     return len(w), sum(hit), sorted(found)
 
 
+def affected(text, items, window):
+    n, hit, _ = contamination(text, items, window)
+    whole = contamination(text, [(i, x) for i, x in items if len(words(x)) >= window], window)[1]
+    return bool(whole or (hit and 20 * hit >= n))
+
+
 @pytest.mark.parametrize("block", [1 << 20, 40])
 def test_decontamination_against_brute_force(spark, block):
     rng = random.Random(3)
     vocabulary = ["a", "B", "c", "É", "d1"]
     items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 3, 9, 20])))) for k in range(6)] + [(9, None)]
     texts = [" ".join(rng.choice([*vocabulary, "zz"]) for _ in range(rng.choice([0, 5, 60]))) for _ in range(12)]
+    texts += ["zz " * 400 + items[5][1], "zz " * 400 + "a"]
     texts += [None, "", "zz " + items[3][1] + "! zz", "zz " + items[3][1] + "! zz"]
     rows = list(enumerate(texts)) + [(0, texts[0])]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -119,13 +126,25 @@ def test_decontamination_against_brute_force(spark, block):
     have = sorted(((r["doc_id"], r["n_words"], r["n_hit"], sorted(r["items"])) for r in got.collect()), key=str)
     assert have == sorted(((i, *contamination(t, items, 4)) for i, t in rows), key=str)
     kept = decontam.remove(docs(spark, rows), bench, window=4, block_bytes=block)
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, t in rows if not (lambda n, h: h and 20 * h >= n)(*contamination(t, items, 4)[:2]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, t in rows if not affected(t, items, 4))
     assert kept.columns == ["doc_id", "text", "ids", "n_tokens"]
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.find_contamination(docs(spark, rows), none).where("n_hit > 0").count() == 0
     assert decontam.digest(decontam.find_contamination(docs(spark, []), bench)).count() == 0
 
 
+def test_a_test_set_of_many_words_is_held_in_arrays():
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(50_000)]
+    items = [(k, words_bytes(" ".join(rng.choices(vocabulary, k=60)))) for k in range(20_000)]
+    test = decontam.TestSuffixes(items)
+    held = sum(a.nbytes for a in [*test.low, *test.high, test.owner, test.offset, test.length, test.pairs])
+    assert len(test.owner) == 20_000 * 48 and held < 150 * len(test.owner)
+    text = b" ".join([b"zz", *items[7][1][5:25], b"zz", *items[19_999][1]]).decode()
+    row = decontam.scan([text, "zz " * 50], test)
+    assert row[0]["items"] == [7, 19_999] and sum(e - s for s, e in row[0]["spans"]) == 80 and row[0]["longest"] == 60 and not row[1]["items"]
+
+
 def test_longest_match():
     test = decontam.TestSuffixes([("i", words_bytes("one two three four five six"))], 3)
     row = decontam.scan(["zero two three four five nine"], test)[0]
