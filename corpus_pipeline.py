@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pathloom.llm import bpe, decontam, linededup, neardup, quality
 from pathloom.llm.common import store, table
@@ -19,28 +20,38 @@ ORACLE_SQL = None
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (score of 0.3 or more)."""
+    """Documents that the quality classifier accepts (score of 0.3 or more).
+
+    Null and empty texts are scored as one empty line; without labelled rows every document scores 0.5 and stays.
+    """
     chain = quality.learn(docs, table(spark, sf_dir, "labels"))
     return quality.keep_good(docs, chain)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without line chunks that occurred before."""
-    return linededup.dedup(docs).select(docs.columns)
+    """Documents without line chunks that occurred before; documents of which nothing is left go.
+
+    Null texts, and texts that were empty before, stay.
+    """
+    out = linededup.dedup(docs)
+    return out.where((F.col("_n_removed") == 0) | (F.trim("text") != "")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8)."""
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8), that of the smallest id.
+
+    Texts without words are in no group; rows with a null id, and rows that repeat a kept id, stay.
+    """
     return neardup.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words occurs in benchmark windows."""
+    """Documents without any benchmark window; null and empty texts, and all texts if there is no benchmark, stay."""
     return decontam.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded and decoded texts."""
+    """Token counts and digests of the encoded and decoded texts, a row for every document; null text is empty."""
     return bpe.round_trip(docs, word_bpe())
 
 
