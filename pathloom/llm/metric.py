@@ -1,12 +1,16 @@
 """Near-duplicate embeddings by an exact metric range join (operator 6).
 
-Unit vectors at cosine c lie at Euclidean distance sqrt(2 - 2c). Pivots partition the vectors: each belongs to the cell
-of its nearest pivot. By the triangle inequality a vector x of one cell can only reach a vector of another, with pivot
-q, if d(x, q) <= d(x, own pivot) + 2r and d(x, q) <= r + the radius of q's cell; x is replicated to those cells and to
-no others. Cells then join independently: each of a cell's own vectors finds all its links among own and replicated ones.
-
-Identical vectors are one class first. A cell with many vectors is cut into blocks of bounded size, and each pair of
-blocks is one task of one matrix product; a block pair returns link counts and a spanning forest, never its pairs.
+Unit vectors at cosine c lie at Euclidean distance r = sqrt(2 - 2c). Pivots partition the vectors: each belongs to the
+cell of its nearest pivot. The triangle inequality sets the boundary replication. A vector y of the cell of pivot q lies on
+q's side of the plane midway between q and any other pivot p, so a vector x of p's cell that is further than r from that
+plane reaches no such y; nor does it if it is further from q than r and the radius of q's cell. x is replicated to the
+cells that neither bound rules out. Cells then join independently: each of a cell's own vectors finds all its links among
+own and replicated ones.
+
+The number of pivots follows from the data: for several numbers a sample tells how often a vector would be replicated and
+how many pairs would be compared, and the cheapest one for the size of the table is taken. Identical vectors are one class
+first. A cell with many vectors is cut into blocks of bounded size, and each pair of blocks is one task of one matrix
+product; a block pair returns link counts and a spanning forest, never its pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.bpe import _arrow
-from pathloom.llm.common import batch, connected_components, cut, store
+from pathloom.llm.common import batch, connected_components, discard, store
 
 
 def _vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -53,20 +57,75 @@ def unit(rows: list[bytes], size: int) -> np.ndarray:
     return out / np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]
 
 
-def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
-    """Pivots from a sample: farthest first, so that no two come from one tight group while others are left."""
-    if not len(sample):
-        return sample
-    chosen = [0]
-    distance = np.linalg.norm(sample - sample[0], axis=1)
-    while len(chosen) < min(count, len(sample)) and distance.max() > 1e-9:
-        chosen.append(int(distance.argmax()))
-        distance = np.minimum(distance, np.linalg.norm(sample - sample[chosen[-1]], axis=1))
-    return sample[chosen]
+def _squares(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.maximum(0.0, np.einsum("ij,ij->i", x, x)[:, None] - 2.0 * (x @ pivots.T) + np.einsum("ij,ij->i", pivots, pivots))
+
+
+class Cells:
+    """Cells around pivots: where a vector lives and which cells it can reach within ``radius``."""
+
+    def __init__(self, pivots: np.ndarray, radius: float):
+        self.pivots, self.radius = pivots, radius
+        self.apart = np.sqrt(_squares(pivots, pivots))
+        self.reach = np.full(len(pivots), np.inf)
+
+    def bound(self, furthest: dict[int, float]) -> None:
+        """Take the radius of each cell that has vectors; the others are out of reach."""
+        self.reach = np.array([furthest[j] + self.radius + 1e-9 if j in furthest else -1.0 for j in range(len(self.pivots))])
+
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest pivot of each vector and the distance to it."""
+        d = _squares(x, self.pivots)
+        at = d.argmin(1)
+        return at, np.sqrt(d[np.arange(len(d)), at])
 
+    def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The home of each vector, and which cells it must be copied to (its home among them)."""
+        d = _squares(x, self.pivots)
+        each = np.arange(len(d))
+        at = d.argmin(1)
+        # further than the radius from the plane between home and the other pivot: twice their distance from it times their own
+        near = (d - d[each, at][:, None] <= 2 * self.radius * self.apart[at] + 1e-9) & (np.sqrt(d) <= self.reach)
+        near[each, at] = True
+        return at, near
 
-def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ pivots.T)))
+
+def means(sample: np.ndarray, count: int, rounds: int = 4) -> np.ndarray:
+    """Pivots: the first vectors of a sample, moved a few times to the mean of their cells; equal ones are left out."""
+    pivots = sample[:count].copy()
+    for _ in range(rounds):
+        home = _squares(sample, pivots).argmin(1)
+        size = np.bincount(home, minlength=len(pivots))
+        total = np.zeros_like(pivots)
+        np.add.at(total, home, sample)
+        pivots = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], pivots)
+    order = np.lexsort(pivots.T)
+    same = np.concatenate(([False], (np.abs(np.diff(pivots[order], axis=0)) < 1e-6).all(1)))
+    return pivots[np.sort(order[~same])]
+
+
+def plan(sample: np.ndarray, n: int, radius: float, least: int = 16, most: int = 4096, row_cost: float = 2000.0) -> tuple[Cells, float, float]:
+    """Cells for a table of ``n`` vectors, the copies of a vector, and the share of all pairs that will be compared.
+
+    row_cost: how many compared pairs one copied vector costs as much as. ``least`` cells are made wherever eight vectors
+    live in each; more only where the sample says that the copies cost less than the pairs that they save.
+    """
+    best, count = None, max(1, min(least, n // 8))
+    probe = sample[: min(len(sample), 1024)]
+    while best is None or (count <= most and count * 8 <= n and count * 4 <= len(sample)):
+        cells = Cells(means(sample, count), radius)
+        home, far = cells.home(sample)
+        size = np.bincount(home, minlength=len(cells.pivots)) / max(1, len(sample))
+        cells.bound({int(j): float(far[home == j].max()) for j in np.unique(home)})
+        near = cells.near(probe)[1]
+        copies, share = float(near.sum(1).mean()), float((near @ size).mean())
+        cost = n * copies * row_cost + float(n) * n * share
+        if best is None or cost < best[0]:
+            best = (cost, cells, copies, share)
+        elif cost > 2 * best[0]:
+            break
+        count *= 2
+    return best[1:]
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -93,99 +152,109 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
 
 
 def components(
-    table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, block: int = 4096, max_pivots: int = 256, sample_rows: int = 4096
-) -> DataFrame:
+    table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, block: int = 4096, pivots: int = 16, sample_rows: int = 16384
+) -> DataFrame:
     """Rows ``(id, n_links, component_id, kept)``, one for each row of ``table``.
 
     Links join vectors at ``cosine`` or more, in double precision; vectors of different sizes never link, nor do null,
     empty, zero or non-finite ones. n_links counts the other vectors linked directly, copies included. Rows that share
-    an id are one node of the components. Null ids get a null component; an empty table gives no rows.
+    an id are one node of the components, and each counts the links of its own vector. Null ids get a null component; an
+    empty table gives no rows; other columns are not looked at.
+
+    ``pivots``: the least number of cells of a table of eight times as many vectors. ``sample_rows``: vectors that the
+    driver chooses pivots from, about, at most 64 MB; the pivots are a quarter of them at most and all that is broadcast.
     """
     spark = table.sparkSession
     rows = store(_vectors(table, id_col, vec_col), "vectors")
     kind = table.schema[id_col].dataType
-    arrow = _arrow(kind)
-    classes = store(rows.where("v is not null and id is not null").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "vector-classes")
+    arrow, name = _arrow(kind), kind.simpleString()
+    classes = rows.where("v is not null and id is not null").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    classes = store(classes.withColumn("h", F.xxhash64("v")), "vector-classes")
     n, longest = classes.agg(F.count("*"), F.max(F.length("v"))).head()
     size = (longest or 8) // 8
 
     radius = math.sqrt(max(0.0, 2.0 - 2.0 * cosine)) + 1e-9
-    sample = classes.orderBy(F.xxhash64("v"), "id").select("v").limit(sample_rows).collect()
-    pivots = choose_pivots(unit([bytes(r[0]) for r in sample], size), max(1, min(max_pivots, -(-n // block))))
-    shared = spark.sparkContext.broadcast(pivots)
+    wanted = min(sample_rows, max(64, (64 << 20) // (8 * size)))
+    chance = F.pmod(F.xxhash64("v", F.lit(7)), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, wanted / max(1, n))))
+    sample = sorted((r["h"], bytes(r["v"])) for r in classes.where(chance).select("h", "v").collect())
+    sample = unit([v for _, v in sample], size) if sample else unit([np.ones(1).tobytes()], size)
+    cells = plan(sample, n, radius, least=pivots)[0]
+    shared = spark.sparkContext.broadcast(cells)
 
-    placed_schema = pa.schema([("id", arrow), ("home", pa.int32()), ("d", pa.float64())])
+    place_schema = pa.schema([("home", pa.int32()), ("d", pa.float64())])
 
     def place(batches):
         for b in batches:
-            d = _distances(unit([x.as_buffer().to_pybytes() for x in b.column(1)], size), shared.value)
-            home = d.argmin(1)
-            yield batch({"id": b.column(0), "home": home.astype(np.int32), "d": d[np.arange(len(d)), home]}, placed_schema)
+            home, d = shared.value.home(unit([x.as_buffer().to_pybytes() for x in b.column(0)], size))
+            yield batch({"home": home.astype(np.int32), "d": d}, place_schema)
 
     # one row for each cell: bounded by the number of pivots
-    cells = {r["home"]: (r["c"], r["far"]) for r in classes.select("id", "v").mapInArrow(place, f"id {kind.simpleString()}, home int, d double").groupBy("home").agg(F.count("*").alias("c"), F.max("d").alias("far")).collect()}
-    reach = np.array([cells[j][1] + radius if j in cells else -1.0 for j in range(len(pivots))])
+    cells.bound({r["home"]: r["far"] for r in classes.select("v").mapInArrow(place, "home int, d double").groupBy("home").agg(F.max("d").alias("far")).collect()})
+    bounded = spark.sparkContext.broadcast(cells)
 
-    spread_schema = pa.schema([("id", arrow), ("copies", pa.int64()), ("v", pa.binary()), ("cell", pa.int32()), ("own", pa.bool_())])
+    spread_schema = pa.schema([("id", arrow), ("h", pa.int64()), ("copies", pa.int64()), ("v", pa.binary()), ("cell", pa.int32()), ("own", pa.bool_())])
 
     def spread(batches):
         for b in batches:
-            d = _distances(unit([x.as_buffer().to_pybytes() for x in b.column(2)], size), shared.value)
-            home = d.argmin(1)
-            near = (d <= d[np.arange(len(d)), home][:, None] + 2 * radius) & (d <= reach[None, :])
-            near[np.arange(len(d)), home] = True
-            r, c = np.nonzero(near)
-            take = b.take(pa.array(r))
-            yield batch({"id": take.column(0), "copies": take.column(1), "v": take.column(2), "cell": c.astype(np.int32), "own": pa.array(c == home[r])}, spread_schema)
-
-    ddl = f"id {kind.simpleString()}, copies long, v binary, cell int, own boolean"
-    members = store(classes.select("id", "copies", "v").mapInArrow(spread, ddl), "cells")
+            for s in range(0, b.num_rows, 1024):
+                t = b.slice(s, 1024)
+                home, near = bounded.value.near(unit([x.as_buffer().to_pybytes() for x in t.column(3)], size))
+                r, c = np.nonzero(near)
+                take = t.take(pa.array(r))
+                yield batch({k: take.column(i) for i, k in enumerate(("id", "h", "copies", "v"))} | {"cell": c.astype(np.int32), "own": pa.array(c == home[r])}, spread_schema)
+
+    members = store(classes.select("id", "h", "copies", "v").mapInArrow(spread, f"id {name}, h long, copies long, v binary, cell int, own boolean"), "cells")
     counts = {r["cell"]: (r["a"], r["o"]) for r in members.groupBy("cell").agg(F.count("*").alias("a"), F.sum(F.col("own").cast("int")).alias("o")).collect()}
-    blocks = spark.createDataFrame([(j, max(1, -(-o // block)), max(1, -(-a // block))) for j, (a, o) in sorted(counts.items())], "cell int, own_blocks int, all_blocks int")
+    wide = max(block, min(4 * block, (32 << 20) // (8 * size)))
+    blocks = spark.createDataFrame([(j, -(-o // block), -(-a // wide)) for j, (a, o) in sorted(counts.items()) if o], "cell int, own_blocks int, all_blocks int")
     dealt = members.join(F.broadcast(blocks), "cell")
-    h = F.xxhash64("id")
-    own = dealt.where("own").select("id", "copies", "v", "cell", F.lit(True).alias("own"), F.pmod(h, "own_blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"))
-    other = dealt.select("id", "copies", "v", "cell", F.lit(False).alias("own"), F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1)).alias("i"), F.pmod(h, "all_blocks").cast("int").alias("j"))
+    own = dealt.where("own").select("id", "h", "copies", "v", "cell", F.lit(True).alias("own"), F.pmod("h", "own_blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"))
+    other = dealt.select("id", "h", "copies", "v", "cell", F.lit(False).alias("own"), F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1)).alias("i"), F.pmod("h", "all_blocks").cast("int").alias("j"))
 
-    join_schema = pa.schema([("id", arrow), ("links", pa.int64()), ("root", arrow)])
-    step = 1024
+    join_schema = pa.schema([("id", arrow), ("h", pa.int64()), ("links", pa.int64()), ("root", arrow)])
+    step = 512
 
     def join(tab):
         mine = tab.column("own").to_numpy(zero_copy_only=False).astype(bool)
-        ids, copies, v = tab.column("id").to_pylist(), tab.column("copies").to_numpy(), [bytes(x) for x in tab.column("v").to_pylist()]
+        ids, h, copies = tab.column("id").to_pylist(), tab.column("h").to_numpy(), tab.column("copies").to_numpy()
         a, b = np.flatnonzero(mine), np.flatnonzero(~mine)
+        v = [bytes(x) for x in tab.column("v").to_pylist()]
         lengths = np.array([len(x) for x in v])
         x, y = unit([v[k] for k in a], size), unit([v[k] for k in b], size)
-        where = {ids[k]: n for n, k in enumerate(b)}
+        where = {(ids[k], h[k]): m for m, k in enumerate(b)}
         linked = np.zeros((len(a), len(b)), bool)
         for s in range(0, len(a), step):
             linked[s : s + step] = x[s : s + step] @ y.T >= cosine
         if lengths.min(initial=0) != lengths.max(initial=0):
             linked &= lengths[a][:, None] == lengths[b][None, :]
-        for n_, k in enumerate(a):
-            at = where.get(ids[k])
+        for m, k in enumerate(a):
+            at = where.get((ids[k], h[k]))
             if at is not None:
-                linked[n_, at] = False
+                linked[m, at] = False
         links, weight = np.zeros(len(a), np.int64), copies[b]
         for k in np.flatnonzero(linked.any(1)):
             links[k] = weight[linked[k]].sum()
-        names = [ids[k] for k in a] + [ids[k] for k in b]
+        names, hashes = [ids[k] for k in a] + [ids[k] for k in b], np.concatenate((h[a], h[b]))
         edges = forest(linked)
         yes = np.flatnonzero(links)
         return pa.table({
-            "id": pa.array([names[k] for k in yes] + [names[t] for _, t in edges], arrow), "links": pa.array([int(links[k]) for k in yes] + [0] * len(edges), pa.int64()),
-            "root": pa.array([None] * len(yes) + [names[r] for r, _ in edges], arrow),
+            "id": pa.array([names[k] for k in yes] + [names[t] for _, t in edges], arrow), "h": pa.array([int(hashes[k]) for k in yes] + [0] * len(edges), pa.int64()),
+            "links": pa.array([int(links[k]) for k in yes] + [0] * len(edges), pa.int64()), "root": pa.array([None] * len(yes) + [names[r] for r, _ in edges], arrow),
         }, schema=join_schema)
 
-    found = own.unionByName(other).groupBy("cell", "i", "j").applyInArrow(join, f"id {kind.simpleString()}, links long, root {kind.simpleString()}")
+    found = own.unionByName(other).groupBy("cell", "i", "j").applyInArrow(join, f"id {name}, h long, links long, root {name}")
     found = store(found, "links")
-    totals = found.where("root is null").groupBy("id").agg(F.sum("links").alias("links"))
+    discard(members)
+    totals = found.where("root is null").groupBy("id", "h").agg(F.sum("links").alias("links"))
     component = connected_components(found.where("root is not null"), "id", "root")
 
     named = (
-        classes.join(totals, "id", "left").join(component.withColumnRenamed("node", "id"), "id", "left")
+        classes.join(totals, ["id", "h"], "left").join(component.withColumnRenamed("node", "id"), "id", "left")
         .select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
     )
+    named = store(named, "named")
     own_id = F.coalesce("component", "id")
-    out = rows.join(named, "v", "left")
+    # vectors that link with nothing never meet in one task of the join
+    out = rows.where("v is not null").join(named, "v", "left").select("id", "links", "component")
+    out = out.unionByName(rows.where("v is null").select("id", F.lit(None).cast("long").alias("links"), F.lit(None).cast(kind).alias("component")))
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own_id.alias("component_id"), (own_id == F.col("id")).alias("kept"))

@@ -85,6 +85,37 @@ def test_overlaps_are_exact():
         assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(many[0]) for j, b in enumerate(many[1]))
 
 
+def test_cells_never_lose_a_link():
+    """Vectors of tight and loose groups: every linked pair meets, few other cells are copied to, a shorter radius fails."""
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(40, 16))
+    v = np.concatenate([c + rng.normal(size=(60, 16)) * s for c, s in zip(centre, np.linspace(0.01, 0.35, 40), strict=True)])
+    v = metric.unit([x.tobytes() for x in v[rng.permutation(len(v))]], 16)
+    a, b = np.nonzero((v @ v.T >= 0.95) & ~np.eye(len(v), dtype=bool))
+    radius = np.sqrt(0.1) + 1e-9
+    lost = {}
+    for r in (radius, radius / 4):
+        cells = metric.Cells(metric.means(v[:600], 48), r)
+        home, far = cells.home(v)
+        cells.bound({int(j): float(far[home == j].max()) for j in np.unique(home)})
+        same, near = cells.near(v)
+        assert (same == home).all()
+        lost[r] = int((~near[a, home[b]]).sum())
+        assert near.sum(1).mean() < len(cells.pivots) / 4
+    assert lost[radius] == 0 < lost[radius / 4]
+
+
+def test_plan_follows_the_size_of_the_table():
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(200, 32))
+    v = metric.unit([x.tobytes() for x in centre[rng.integers(0, 200, 4000)] + rng.normal(size=(4000, 32)) * 0.05], 32)
+    plans = {n: metric.plan(v, n, 0.3162277670) for n in (4, 500, 2_000, 200_000)}
+    counts = [len(c.pivots) for c, _, _ in plans.values()]
+    assert counts[0] == 1 and counts[1] > 10 and counts == sorted(counts) and counts[-1] > 100
+    work = [n * n * share for n, (_, _, share) in plans.items()]
+    assert work[3] / work[2] < 0.6 * (100 * 100)  # grows below the square
+
+
 @pytest.mark.parametrize("block", [16, 4096])
 def test_metric_join_against_all_pairs(spark, block):
     rng = np.random.default_rng(5)
@@ -95,7 +126,7 @@ def test_metric_join_against_all_pairs(spark, block):
     n = len(rows)
     rows += [(n, None, 1), (n + 1, [0.0] * 8, 1), (n + 2, [float("nan")] * 8, 1), (n + 3, [1.0, None], 1), (n + 4, [], 1), (n + 5, [1.0, 0.0], 1), (n + 6, [1.0, 0.01], 1)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, n_links int")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in metric.components(frame, block=block, max_pivots=7).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in metric.components(frame, block=block, pivots=7 if block > 16 else 16).collect()}
     a = v.astype(np.float64)
     norm = np.sqrt((a * a).sum(1))
     linked = (a @ a.T) / np.outer(norm, norm) >= 0.95
@@ -107,6 +138,12 @@ def test_metric_join_against_all_pairs(spark, block):
     assert metric.components(frame.limit(0)).count() == 0
 
 
+def test_rows_that_share_a_vector_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (3, [0.01, 1.0]), (None, [1.0, 0.0]), (4, [-1.0, 0.0])]
+    got = metric.components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in got)) == [(0, 1, 1), (1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (3, 2, 1), (4, 0, 4)]
+
+
 def test_forest_spans():
     rng = np.random.default_rng(6)
     for _ in range(30):
