@@ -73,8 +73,27 @@ def test_segments_give_random_access(bits):
         dac.Segment(b"nope" + bytes(20))
 
 
+def test_an_access_reads_few_bytes():
+    ids = np.random.default_rng(4).integers(0, 49_000, 200_000).astype(np.uint32)
+    data, seen = dac.pack(ids), []
+    seg = dac.Segment(lambda p, n: seen.append(n) or data[p : p + n])
+    seen.clear()
+    assert seg.get(123_456) == ids[123_456] and sum(seen) < 80
+    seen.clear()
+    assert (seg.slice(150_000, 150_100) == ids[150_000:150_100]).all() and sum(seen) < 500
+
+
+def test_files_open_at_any_token(spark, tmp_path):
+    dac.write(docs(spark, [(k, f"text number {k} " * (k % 7 + 1)) for k in range(60)]), str(tmp_path / "ids"), PATH, 1, segment_ids=100, partitions=3)
+    for r in dac.catalogue(spark, str(tmp_path / "ids")).collect():
+        with open(tmp_path / "ids" / r["file"], "rb") as f:
+            seg = dac.Segment(lambda p, n, f=f: f.seek(p) >= 0 and f.read(n), r["at"])
+            want = [t for i in r["doc_ids"] for t in [*reference(f"text number {i} " * (i % 7 + 1))[0], 1]]
+            assert len(seg) == r["n_ids"] == len(want) and [seg.get(k) for k in range(len(seg))] == want
+
+
 def test_token_file(spark):
-    rows = [(30, "last one"), (1, "first text"), (2, None), (7, "x" * 40), (7, "x" * 40)]
+    rows = [(30, "last one"), (1, "first text"), (2, None), (7, "x" * 40), (7, "x" * 40), (40, "long " * 60_000), (41, "")]
     got = sorted(tuple(r) for r in dac.write_and_digest(docs(spark, rows), PATH, 1).select("doc_id", "start", "n_tokens", "ids_crc32").collect())
     start, want = 0, []
     for i, t in sorted(rows, key=lambda r: r[0]):
@@ -83,6 +102,7 @@ def test_token_file(spark):
         start += len(ids)
     assert got == sorted(want)
     assert dac.write_and_digest(docs(spark, []), PATH, 1).count() == 0
+    assert [tuple(r) for r in dac.write_and_digest(docs(spark, [(5, "x"), (None, "x")]), PATH, 1).select("doc_id", "start").orderBy("start").collect()] == [(None, 0), (5, 2)]
 
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
