@@ -30,6 +30,8 @@ from pathloom.llm.common import batch, held
 _EXTRA_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 _RUN = 3  # tokens that must agree in a row on either side of a join
+_EDGE = 160  # characters at either end of a leaf whose tokens' places are kept for the joins
+_NOWHERE = -(1 << 40)  # the place of a token between the edges
 
 
 class TreeEncoder:
@@ -39,7 +41,7 @@ class TreeEncoder:
     cache_words: distinct words whose ids are remembered in each of two generations.
     """
 
-    def __init__(self, path: str, leaf_chars: int = 32768, cache_words: int = 300_000):
+    def __init__(self, path: str, leaf_chars: int = 4096, cache_words: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -65,6 +67,10 @@ class TreeEncoder:
             return self.tree(text)[0].astype("<u4").tobytes()
         return self._short(text)
 
+    def leaves(self, text: str | None) -> int:
+        """Leaves of the tree that ``encode`` makes of a text: none for no text, one if it is encoded in one go."""
+        return len(cuts(self.leaf_chars, len(text))) - 1 if text and len(text) > 2 * self.leaf_chars else int(bool(text))
+
     def _short(self, text: str) -> bytes:
         if not self.by_words:
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -77,11 +83,25 @@ class TreeEncoder:
         spans = np.asarray(e.offsets, np.int64).reshape(-1, 2)
         return np.asarray(e.ids, np.int64), spans[:, 0], spans[:, 1]
 
+    def edged(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``leaf``, but tokens between the edges may have no places: joins look at the edges first.
+
+        Where words are encoded each by itself, what lies between a blank near the start and one near the end is encoded
+        word by word; text without such blanks is encoded as a whole.
+        """
+        first, last = text.find(" ", _EDGE), text.rfind(" ", 0, max(0, len(text) - _EDGE))
+        if not self.by_words or not 0 < first < last:
+            return self.leaf(text)
+        head, tail = self.leaf(text[:first]), self.leaf(text[last:])
+        between = np.frombuffer(self._short(text[first:last]), "<u4").astype(np.int64)
+        nowhere = np.full(len(between), _NOWHERE, np.int64)
+        return tuple(np.concatenate((h, m, t)) for h, m, t in zip(head, (between, nowhere, nowhere), (tail[0], tail[1] + last, tail[2] + last), strict=True))
+
     def tree(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Encode the leaves of a text in parallel threads, then join them pairwise."""
         at = cuts(self.leaf_chars, len(text))
         with ThreadPoolExecutor(2) as pool:
-            leaves = list(pool.map(lambda k: self.leaf(text[at[k] : at[k + 1]]), range(len(at) - 1)))
+            leaves = list(pool.map(lambda k: self.edged(text[at[k] : at[k + 1]]), range(len(at) - 1)))
         return self.join_all(text, at, leaves)
 
     def join_all(self, text: str, at: list[int], leaves: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,6 +117,9 @@ class TreeEncoder:
         k = self.window_tokens
         while True:
             a, b = max(0, len(li) - k), min(len(ri), k)
+            if (a and ls[a] < 0) or (b < len(ri) and re_[b - 1] < 0):
+                k *= 2  # the places of these tokens are not known
+                continue
             lo = int(ls[a]) if a else begin
             hi = int(re_[b - 1]) if b < len(ri) else end
             if (a and middle - lo < self.reach) or (b < len(ri) and hi - middle < self.reach):
@@ -215,18 +238,19 @@ def _drops_white_space(path: str) -> bool:
     )
 
 
-def encoder(path: str, leaf_chars: int = 32768, cache_words: int = 300_000) -> TreeEncoder:
+def encoder(path: str, leaf_chars: int = 4096, cache_words: int = 300_000) -> TreeEncoder:
     """One encoder for each Python worker and tokenizer file."""
     return held(("bpe", path, leaf_chars, cache_words), lambda: TreeEncoder(path, leaf_chars, cache_words))
 
 
-def _as_tokens(enc: TreeEncoder, ids: list[bytes]) -> dict[str, list]:
+def _as_tokens(enc: TreeEncoder, ids: list[bytes], leaves: list[int]) -> dict[str, list]:
     return {"ids": ids, "n_tokens": [len(x) // 4 for x in ids]}
 
 
-def _as_digests(enc: TreeEncoder, ids: list[bytes]) -> dict[str, list]:
+def _as_digests(enc: TreeEncoder, ids: list[bytes], leaves: list[int]) -> dict[str, list]:
     texts = enc.decode_many([np.frombuffer(x, "<u4") for x in ids])
     return {
+        "n_leaves": leaves,
         "n_tokens": [len(x) // 4 for x in ids],
         "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
         "decoded_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts],
@@ -234,7 +258,7 @@ def _as_digests(enc: TreeEncoder, ids: list[bytes]) -> dict[str, list]:
 
 
 _TOKEN_FIELDS = [("ids", pa.binary(), "binary"), ("n_tokens", pa.int64(), "long")]
-_DIGEST_FIELDS = [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
+_DIGEST_FIELDS = [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string"), ("n_leaves", pa.int64(), "long")]
 
 
 def _encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, leaf_chars: int, spread_chars: int, finish, fields) -> DataFrame:
@@ -250,7 +274,8 @@ def _encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, leaf_c
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 s = b.slice(k, 256)
-                yield batch({"id": s.column(0)} | finish(enc, [enc.encode_bytes(t) for t in s.column(1).to_pylist()]), out)
+                texts = s.column(1).to_pylist()
+                yield batch({"id": s.column(0)} | finish(enc, [enc.encode_bytes(t) for t in texts], [enc.leaves(t) for t in texts]), out)
 
     leaf_schema = pa.schema([("id", _arrow(kind)), ("key", pa.string()), ("leaf", pa.int64()), ("text", pa.string())])
 
@@ -282,7 +307,7 @@ def _encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, leaf_c
             at.append(at[-1] + len(r["text"]))
         text = "".join(r["text"] for r in rows)
         ids = enc.join_all(text, at, [tuple(np.frombuffer(r[n], "<u4").astype(np.int64) for n in ("ids", "starts", "ends")) for r in rows])[0]
-        done = finish(enc, [ids.astype("<u4").tobytes()])
+        done = finish(enc, [ids.astype("<u4").tobytes()], [len(rows)])
         return pa.Table.from_batches([batch({"id": [rows[0]["id"]] * copies} | {k: v * copies for k, v in done.items()}, out)])
 
     ddl = ", ".join((f"id {kind.simpleString()}", *(f"{n} {t}" for n, _, t in fields)))
@@ -298,7 +323,7 @@ def _encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, leaf_c
     return a.unionByName(b).withColumnRenamed("id", id_col)
 
 
-def encode_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = 32768, spread_chars: int = 65536) -> DataFrame:
+def encode_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = 4096, spread_chars: int = 65536) -> DataFrame:
     """Encode every whole text: rows ``(id, ids, n_tokens)``, ids as little-endian unsigned 32-bit integers.
 
     Texts up to ``spread_chars`` are encoded where they are read, without a shuffle (in-task tree above two leaves).
@@ -309,8 +334,8 @@ def encode_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     return _encoded(docs, tokenizer, id_col, text_col, leaf_chars, spread_chars, _as_tokens, _TOKEN_FIELDS)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = 32768, spread_chars: int = 65536) -> DataFrame:
-    """Encode and decode whole texts and digest both: ``(id, n_tokens, ids_sha256, decoded_sha256)``.
+def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = 4096, spread_chars: int = 65536) -> DataFrame:
+    """Encode and decode whole texts and digest both: ``(id, n_tokens, ids_sha256, decoded_sha256, n_leaves)``.
 
     The id lists go from encoder to decoder within a task: nothing but the digests leaves it. Rows as in
     ``encode_table``; the digests of no ids are those of empty strings.

@@ -158,7 +158,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     def run(batches):
         from pyspark import TaskContext
 
-        enc, context = encoder(tokenizer), TaskContext.get()
+        enc, context = encoder(tokenizer, leaf_chars=32768), TaskContext.get()
         part, segment, at = context.partitionId(), 0, 0
         files, where = _opened(f"{top}/part-{part:05d}.pldc")
         draft = f"{where}.{context.attemptNumber()}-{context.taskAttemptId()}"

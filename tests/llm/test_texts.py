@@ -43,6 +43,16 @@ def test_tree_joins_are_exact():
         assert whole._short(text) == np.asarray(want, "<u4").tobytes()
 
 
+def test_leaves_with_edges_join_exactly():
+    rng = random.Random(2)
+    enc = bpe.TreeEncoder(PATH, leaf_chars=1000)
+    parts = ["the ", "inGest ", "<|endoftext|>", "\n", "É日本", "x" * 700, "a.b,c ", "'re ", " " * 9, "123 "]
+    for n in range(60):
+        text = "".join(rng.choice(parts[: 3 + n % 8]) for _ in range(rng.randint(300, 2500)))
+        assert enc.leaves(text) > 1 or len(text) <= 2000
+        assert enc.encode(text).tolist() == reference(text)[0]
+
+
 def test_round_trip_cases(spark):
     long = "theunsplit" * 900 + " and words, " * 700
     rows = [(1, None), (2, ""), (3, "Hello  wor-ld! <|endoftext|> a"), (4, long), (4, long), (5, "dup"), (5, "dup"), (None, "no id")]
@@ -53,6 +63,7 @@ def test_round_trip_cases(spark):
         ids, text = reference(t)
         want.append((i, len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     assert have == sorted(want, key=str)
+    assert {r["doc_id"]: r["n_leaves"] for r in got if r["doc_id"] in (1, 3, 4)} == {1: 0, 3: 1, 4: 64}
     assert bpe.round_trip(docs(spark, []), PATH).count() == 0
     decoded = {r["doc_id"]: r["text"] for r in bpe.decode_table(bpe.encode_table(docs(spark, rows), PATH), PATH).collect()}
     assert decoded[3] == reference(rows[2][1])[1] and decoded[1] == ""
