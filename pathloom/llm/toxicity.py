@@ -1,7 +1,7 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine (operator 5).
 
-Fitting chooses terms (words and word beginnings) whose presence goes with the label, weights them by inverse document
-frequency and stores the labelled examples as unit vectors in an inverted index of blocks. For each term and block the
+Terms are words and word beginnings, weighted by inverse document frequency and by how much their presence says about the
+label. The labelled examples are unit vectors in an inverted index of blocks. For each term and block the
 index holds the largest weight in the block; the sum of these over a text's terms bounds every cosine in the block, so
 blocks are scored in order of their bound until the bound falls below the k-th best cosine: the k nearest are exact.
 Votes are weighted by closeness and calibrated on the examples themselves, each scored without itself.
@@ -35,11 +35,13 @@ def word_terms(word: str) -> list[str]:
 class Index:
     """Labelled unit vectors in blocks with the largest weight of each term in each block.
 
-    min_chi2: how strongly a term must go with the label; max_terms: bound of the vocabulary; k: votes for each text;
-    share: part of the labelled rows that have label 1, where the sample was balanced (else that of the sample).
+    A term's weight is its inverse document frequency times its relevance, chi2² / (chi2² + doubt²), where chi2 tells how
+    strongly its presence goes with the label. Terms below min_chi2 (3.84: presence that one unrelated term in twenty
+    shows) have no weight; the vocabulary has no other bound than the examples. k: votes for each text; share: part of
+    the labelled rows that have label 1, where the sample was balanced (else that of the sample).
     """
 
-    def __init__(self, examples: list[tuple], min_chi2: float = 20.0, max_terms: int = 4096, block: int = 64, k: int = 9, share: float | None = None):
+    def __init__(self, examples: list[tuple], min_chi2: float = 3.84, doubt: float = 40.0, block: int = 128, k: int = 9, share: float | None = None):
         self.k, self.block = k, block
         sets = [set(chain.from_iterable(map(word_terms, set(_LETTERS.findall((t or "").lower()))))) for _, t, _ in examples]
         y = np.array([int(label == 1) for _, _, label in examples], np.float64)
@@ -54,13 +56,13 @@ class Index:
         scored = []
         for term, df in have.items():
             a = having[term]
-            if df >= 3 and 0 < positive < n and df < n:
+            if df >= 2 and 0 < positive < n and df < n:
                 chi2 = n * (a * n - df * positive) ** 2 / (df * (n - df) * positive * (n - positive))
                 if chi2 >= min_chi2:
                     scored.append((-chi2, term, df))
-        scored = sorted(scored)[:max_terms]
+        scored.sort()
         self.terms = {term: i for i, (_, term, _) in enumerate(scored)}
-        self.idf = np.array([math.log((1 + n) / (1 + df)) + 1 for _, _, df in scored], np.float64)
+        self.idf = np.array([(math.log((1 + n) / (1 + df)) + 1) * (x * x / (x * x + doubt * doubt)) for x, _, df in scored], np.float64)
         self.known: dict[str, tuple[int, ...]] = {}
         vectors = [self.vector(t) for _, t, _ in examples]
         rows = [i for i, v in enumerate(vectors) if len(v[0])]
@@ -78,7 +80,7 @@ class Index:
                 dense[r, vectors[i][0]] = vectors[i][1]
             tops.append(dense.max(0))
             used = np.flatnonzero(tops[-1] > 0)
-            place = np.full(len(self.terms), -1, np.int64)
+            place = np.full(len(self.terms), -1, np.int32)
             place[used] = np.arange(len(used))
             self.blocks.append((place, np.ascontiguousarray(dense[:, used].T)))
         self.tops = np.array(tops).T.copy() if tops else np.zeros((len(self.terms), 0))
@@ -118,6 +120,8 @@ class Index:
             at = place[which]
             own = at >= 0
             got = weight[own] @ dense[at[own]]
+            if len(cos) >= self.k and got.max(initial=0.0) < cos[self.k - 1] - 1e-12:
+                continue
             rows = np.arange(len(got)) + b * self.block
             keep = (got > 0) & (rows != skip)
             best, cos = np.concatenate((best, rows[keep])), np.concatenate((cos, got[keep]))

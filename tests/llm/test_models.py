@@ -83,6 +83,19 @@ def test_nearest_examples_are_exact():
         assert np.allclose(index.nearest(which, weight)[1], [c for c in exact[:5] if c > 0], atol=1e-8)
 
 
+def test_rare_words_of_a_large_sample_are_found():
+    """Each toxic text has a word that few others share: far below a hundredth of the sample."""
+    rng = random.Random(7)
+    name = lambda k: "".join("abcdefghij"[int(x)] for x in f"{k:03}")
+    plain = [name(k) + "some" for k in range(400)]
+    vile = [name(k) + "vile" for k in range(400, 530)]
+    examples = [(k, " ".join(rng.choices(plain, k=20) + ([vile[k // 2 % 130]] * 2 if k % 2 else [])), k % 2) for k in range(1500)]
+    index = toxicity.Index(examples, share=0.1)
+    assert len(index.terms) > 130
+    assert all(index.score(" ".join(rng.choices(plain, k=20)) + f" {x} {x}")[0] > 0.5 for x in vile)
+    assert np.mean([index.score(" ".join(rng.choices(plain, k=20)))[0] > 0.5 for _ in range(200)]) < 0.05
+
+
 def test_toxicity_cases(spark):
     rows = [(k, f"some words here {'awful idiot' if k % 4 == 0 else 'and more'} number {k % 7}") for k in range(200)] + [(500, None), (501, ""), (502, "zzz"), (503, "idiot " * 30000), (503, "idiot " * 30000)]
     frame = spark.createDataFrame([(i, t, "e") for i, t in rows], "doc_id long, text string, evidence string")
