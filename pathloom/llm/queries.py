@@ -21,7 +21,7 @@ def word_bpe() -> str:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove repeated line chunks from every document."""
     out = linededup.dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
+    return out.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("n_lines", "n_removed", "n_by_chunk", "n_by_window", "n_by_line")), "text")
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

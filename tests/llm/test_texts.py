@@ -187,17 +187,39 @@ def words_bytes(text):
 
 
 def plain_dedup(rows):
-    """Line dedup of ``(id, text)`` rows in id order."""
-    first, before, want = set(), set(), {}
+    """Line dedup of ``(id, text)`` rows in id order, told without chunks or hashes: a line goes if it and the line before or
+    after it stood together before, or if it has 50 words and stood before; stretches of under ten words stay."""
+    pairs, longs, want = set(), set(), {}
     for i, t in rows:
-        lines, spans = (t or "").split("\n"), []
-        short = linededup.short_lines(t)
-        repeated = {k for n, (k, x) in enumerate(short) if x in before or x in {y for _, y in short[:n]}}
-        for a, b, piece in linededup.chunks(t):
-            spans += [(a, b)] if piece in first else []
-            first.add(piece)
-        before |= {x for _, x in short}
-        gone = {k for a, b in linededup.grown(len(lines), spans, repeated) for k in range(a, b)}
+        lines = (t or "").split("\n")
+        full = [k for k, x in enumerate(lines) if x.strip()]
+        gone, last = set(), {}
+        for a, b in zip(full, full[1:], strict=False):
+            pair = (lines[a], lines[b])
+            if last.get(pair) == a:
+                continue  # overlaps the equal pair before it
+            last[pair] = b
+            if pair in pairs:
+                gone |= {a, b}
+            pairs.add(pair)
+        for k in full:
+            if len(lines[k].split()) >= 50:
+                if lines[k] in longs:
+                    gone.add(k)
+                longs.add(lines[k])
+        for a, b in zip(full, full[1:], strict=False):
+            if a in gone and b in gone:
+                gone |= set(range(a, b))
+        stretches, kept = [], []
+        for k in sorted(gone):
+            if stretches and stretches[-1][-1] == k - 1:
+                stretches[-1].append(k)
+            else:
+                stretches.append([k])
+        for s in stretches:
+            if sum(len(lines[k].split()) for k in s) < 10:
+                kept += s
+        gone -= set(kept)
         want[i] = None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return want
 
@@ -205,22 +227,47 @@ def plain_dedup(rows):
 def test_line_chunks(spark):
     passage = "\n".join(f"shared line number {k} with some words of its own" for k in range(9))
     one = "a single line of a great many words " * 8
-    rows = [(1, f"start one\n{passage}\nend one"), (2, f"begin two here\nand more\n{passage}\nfinish two"), (3, "unique\ntext"), (4, None), (5, ""), (6, one), (7, "x\n" + one), (8, f"start one\n{passage}\nend one")]
+    medium = "a single line of some words that comes again and again in many other texts as boilerplate may do"
+    rows = [(1, f"start one\n{passage}\nend one"), (2, f"begin two here\nand more\n{passage}\nfinish two"), (3, "unique\ntext"), (4, None), (5, ""), (6, one), (7, "x\n" + one), (8, f"start one\n{passage}\nend one"), (9, f"p\n{medium}\nq"), (10, f"r\n{medium}\ns"), (11, "of two lines the first has these words\nand the second has those"), (12, "x y\nof two lines the first has these words\n\nand the second has those\nz")]
     frame = spark.createDataFrame([(i, t, "src", 5) for i, t in rows], "doc_id long, text string, _n_removed string, n_chars long")
     got = {r["doc_id"]: r for r in linededup.dedup(frame).collect()}
     want = plain_dedup(rows)
     assert {i: r["text"] for i, r in got.items()} == want
     assert got[1]["text"] == rows[0][1] and got[2]["text"] == "begin two here\nand more\nfinish two"
+    assert got[10]["text"] == rows[9][1] and got[12]["text"] == "x y\nz" and got[8]["_n_by_chunk"] > 2 and got[7]["_n_by_line"] == 1
     assert got[7]["text"] == "x" and got[3]["text"] == "unique\ntext" and got[8]["text"] == ""
     assert got[2]["n_chars"] == len(got[2]["text"]) and got[4]["text"] is None
     assert linededup.dedup(frame.limit(0)).count() == 0
 
 
 def test_chunk_boundaries_resist_shifts():
-    lines = [f"line {k} " + "word " * (k % 5 + 3) for k in range(40)]
-    a = {c[2] for c in linededup.chunks("\n".join(lines))}
-    b = {c[2] for c in linededup.chunks("\n".join(["new line at the top", *lines[3:]]))}
-    assert len(a & b) >= len(b) - 3
+    lines = [f"line {k} " + "word " * (k % 5 + 3) for k in range(60)]
+
+    def chunk_hashes(x):
+        return {h for h, k in zip(*(v.tolist() for v in linededup.pieces("\n".join(x))[2:]), strict=True) if k == linededup.CHUNK}
+
+    a, b = chunk_hashes(lines), chunk_hashes(["new line at the top", *lines[3:30], "one in the middle", *lines[30:]])
+    assert len(a) > 8 and len(a & b) >= len(a) - 4
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_line_dedup_against_the_plain_model(spark, seed):
+    """Texts of few distinct lines: many repeats, overlaps, blank and long lines, null and repeated rows."""
+    rng = random.Random(seed)
+    stock = [" ".join(rng.choices("abcdefgh", k=rng.choice([1, 2, 6, 12, 55]))) for _ in range(14)] + ["", "  "]
+    texts = ["\n".join(rng.choice(stock) for _ in range(rng.randint(0, 30))) for _ in range(40)] + [None, ""]
+    rows = list(enumerate(texts))
+    got = linededup.dedup(docs(spark, [*rows, rows[3]])).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == plain_dedup(rows) and len(got) == len(rows) + 1
+    assert all(r["_n_removed"] == r["_n_by_chunk"] + r["_n_by_window"] + r["_n_by_line"] for r in got)
+
+
+def test_equal_hashes_of_different_bytes_stay(spark, monkeypatch):
+    rows = [(1, "first line of the first text\nand its second line here"), (2, "other line of another text\nand its second one here")]
+    plain = linededup.dedup(docs(spark, rows)).collect()
+    assert {r["doc_id"]: r["text"] for r in plain} == dict(rows)
+    found = linededup.removed(rows[0][1].split("\n"), [(0, 2, 1)])
+    assert found.tolist() == [1, 1] and linededup.removed(["a b", "c d"], [(0, 2, 1)]).tolist() == [-1, -1]
 
 
 def test_repeated_passages_of_short_lines_go_whole(spark):
@@ -243,17 +290,11 @@ def test_repeated_passages_of_short_lines_go_whole(spark):
         for x in t.split("\n"):
             counts[x] = counts.get(x, 0) + 1
     got = {r["doc_id"]: r["text"] for r in linededup.dedup(docs(spark, rows)).collect()}
-    assert got[0] == rows[0][1]
+    assert got[0] == rows[0][1] and got == plain_dedup(rows)
     for k, t in rows[1:]:
-        assert got[k].split("\n") == [x for x in t.split("\n") if counts[x] == 1]
+        assert [x for x in got[k].split("\n") if x] == [x for x in t.split("\n") if counts[x] == 1 and x]
 
 
 def test_short_repeats_inside_one_text_stay(spark):
     rows = [(1, "0\n" * 11), (2, "a b c\nd e f\nnew one here"), (3, "a b c\nother words\nd e f")]
     assert {r["doc_id"]: r["text"] for r in linededup.dedup(docs(spark, rows)).collect()} == dict(rows)
-
-
-def test_growth_over_blank_lines():
-    assert linededup.grown(9, [(2, 4)], {5}, {4, 6}) == [(2, 6)]
-    assert linededup.grown(9, [(2, 4), (5, 7)], {8}, {4, 7}) == [(2, 9)]
-    assert linededup.grown(9, [(4, 7), (2, 5), (3, 6)], {0, 1}) == [(0, 7)]
