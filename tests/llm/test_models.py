@@ -129,22 +129,44 @@ def test_main_text(spark):
     assert html.extract(PAGE, w) == "The title & more\nFirst para bold\nafter break\nSecond <p> one"
     assert html.extract(None, w) == html.extract("", w) == html.extract("<script>x</script>", w) == ""
     assert html.extract("plain text only", w) == "plain text only"
-    rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "v", "<p>" + "word " * 50000)]
+    rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "v", "<p>" + "word " * 50000), (None, "w", "<p>no id but a text</p>")]
     frame = spark.createDataFrame([(*r, 3) for r in rows], "page_id long, url string, html string, text int")
     got = html.extract_table(frame).collect()
-    assert sorted((r["page_id"], r["n_chars"]) for r in got) == [(1, len(html.extract(PAGE, w)))] * 2 + [(2, 0), (3, 249999)]
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 16), (1, len(html.extract(PAGE, w)))] * 2 + [(2, 0), (3, 249999)]
     assert html.extract_table(frame.limit(0)).count() == 0
 
 
 def test_region_is_the_best_contiguous_stretch():
     w = html.learned()
     page = html.tokens("<div><a>menu</a></div>" + "<p>main words run on here</p>" * 3 + "<div><a>x</a><a>y</a></div>" * 6 + "<p>late</p>")
-    scores = [w.of(t) for t in page]
+    scores = [w.of(t, False) for t in page]
     best = max(sum(scores[a:b]) for a in range(len(page)) for b in range(a + 1, len(page) + 1))
     a, b = html.region(page, w)
     assert sum(scores[a:b]) == pytest.approx(best)
 
 
+STORY = "<p>The committee met on Monday to discuss the state of the bridge over the river and decided to repair it before winter.</p>"
+STORY_TEXT = STORY[3:-4]
+
+
+def test_the_scan_finds_the_text_between_containers_of_unknown_names():
+    w = html.learned()
+    page = f"""<body><div class=q1><ul><li><a href=x>Home</a></li><li><a>World</a></li></ul></div><div>Town Paper</div><div class=z9><h1>Bridge to be repaired</h1>{STORY * 3}
+</div><div class=k2><h3>Archive</h3><ul><li><a>May</a></li><li><a>June</a></li></ul></div><div><div>Copyright 2024 Town Paper</div></div></body>"""
+    assert html.extract(page, w) == "\n".join(["Bridge to be repaired", *[STORY_TEXT] * 3])
+    assert "Copyright 2024 Town Paper" in html.extract(page, w, scan=False)
+
+
+def test_stray_quotes_and_text_between_adverts():
+    w = html.learned()
+    assert html.extract("<p title=\"a\"\">first text stays here, a whole sentence</p><p title='>'>and so does this second one</p>", w) == "first text stays here, a whole sentence\nand so does this second one"
+    many = "<aside><ul>" + "<li><a>related words here and more</a></li>" * 14 + "</ul></aside>"
+    assert html.extract(f"<article>{STORY}{many}<p>A short end.</p></article>", w) == f"{STORY_TEXT}\nA short end."
+    assert html.extract(f"<body>{STORY * 2}<aside>{'other words ' * 30}</aside>{STORY * 2}</body>", w) == "\n".join([STORY_TEXT] * 4)
+    assert html.extract(f"<body>{STORY}<div><a>Related one</a> <a>Related two</a></div>{STORY}</body>", w) == f"{STORY_TEXT}\n{STORY_TEXT}"
+    assert html.extract(f"<body>{STORY}<p>Read <a>the report</a> for more detail.</p>{STORY}</body>", w).split("\n")[1] == "Read the report for more detail."
+
+
 def test_language_sample_has_long_texts_and_no_empty_ones(spark):
     rows = [(k, "lange Rede ohne Ende " * 1200, "de") for k in range(3)] + [(k, "", "fr") for k in range(10, 40)] + [(50, "une seule phrase", "fr")]
     got = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), docs_per_language=1)
