@@ -132,7 +132,7 @@ def test_main_text(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "v", "<p>" + "word " * 50000), (None, "w", "<p>no id but a text</p>")]
     frame = spark.createDataFrame([(*r, 3) for r in rows], "page_id long, url string, html string, text int")
     got = html.extract_table(frame).collect()
-    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 16), (1, len(html.extract(PAGE, w)))] * 2 + [(2, 0), (3, 249999)]
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 16), *[(1, len(html.extract(PAGE, w)))] * 2, (2, 0), (3, 249999)]
     assert html.extract_table(frame.limit(0)).count() == 0
 
 
