@@ -144,11 +144,12 @@ class TreeEncoder:
 
 
 class _Words(dict):
-    """Ids of words between white space, encoded when first met. Two generations of at most ``limit`` words are kept."""
+    """Ids of words between white space, encoded when met. Two generations of at most ``limit`` words are kept; a word is
+    kept from its second time on, as most words of a large corpus never come again."""
 
     def __init__(self, tokenizer, limit: int):
         super().__init__()
-        self.tokenizer, self.limit, self.old = tokenizer, limit, {}
+        self.tokenizer, self.limit, self.old, self.once = tokenizer, limit, {}, set()
         self.model, self.tails = tokenizer.model, {"": b""}
 
     def __missing__(self, word: str) -> bytes:
@@ -167,15 +168,29 @@ class _Words(dict):
                 if stem is None:
                     stem = array("I", [t.id for t in self.model.tokenize(low if low.isascii() else low.translate(_BYTE_CHARS))]).tobytes()
                     if low != word:
-                        self[low] = stem
+                        self._keep(low, stem)
                 got = stem + end
             else:
                 got = self._whole(word)
+            self._keep(word, got)
+        else:
+            self._put(word, got)
+        return got
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        h = hash(word)
+        if h not in self.once:
+            if len(self.once) >= 2 * self.limit:
+                self.once.clear()
+            self.once.add(h)
+        else:
+            self._put(word, ids)
+
+    def _put(self, word: str, ids: bytes) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        self[word] = got
-        return got
+        self[word] = ids
 
     def _whole(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
