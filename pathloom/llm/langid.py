@@ -95,7 +95,8 @@ class Model:
         self.forget()
 
     def forget(self) -> None:
-        self.index, self.counts, self.fresh = _Rows(self), np.zeros((0, len(self.languages)), np.int32), []
+        self.index, self.counts, self.used = _Rows(self), np.zeros((1024, len(self.languages)), np.int32), 0
+        self.passing: list[list[int]] = []
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Predicted language and confidence of each text; ``und`` and 0 where there is no letter or no model."""
@@ -105,15 +106,15 @@ class Model:
             if not words or not self.languages:
                 out.append(("und", 0.0))
                 continue
-            if len(self.index) > self.cache_words:
+            if self.used > self.cache_words:
                 self.forget()
             long = [w for w in words if len(w) > self.cache_length]
             known = [w for w in words if len(w) <= self.cache_length] if long else words
+            self.passing = []
             rows = np.fromiter(map(self.index.__getitem__, known), np.int64, len(known))
-            if self.fresh:
-                self.counts = np.concatenate((self.counts, np.array(self.fresh, np.int32)))
-                self.fresh = []
-            total = self.counts[rows].sum(0, dtype=np.int64)
+            total = self.counts[rows[rows >= 0]].sum(0, dtype=np.int64)
+            if self.passing:
+                total = total + np.array(self.passing, np.int64).sum(0)
             for w in long:
                 total = total + [a.phrases(f" {w} ") for a in self.automata]
             bits = total * self.cost / (sum(map(len, words)) + 2 * len(words))
@@ -124,17 +125,28 @@ class Model:
 
 
 class _Rows(dict):
-    """Row of a word's phrase counts; words are parsed when first met."""
+    """Row of a word's phrase counts. Words are parsed when met and remembered from their second time on, as most words of a
+    large corpus never come again; counts of the others pass by in ``passing`` and have no row."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.model, self.once = model, set()
 
     def __missing__(self, word: str) -> int:
-        m, padded = self.model, f" {word} "
-        self[word] = n = len(m.counts) + len(m.fresh)
-        m.fresh.append([a.phrases(padded) for a in m.automata])
-        return n
+        m, h, padded = self.model, hash(word), f" {word} "
+        found = [a.phrases(padded) for a in m.automata]
+        if h not in self.once:
+            if len(self.once) >= 2 * m.cache_words:
+                self.once.clear()
+            self.once.add(h)
+            m.passing.append(found)
+            return -1
+        if m.used == len(m.counts):
+            m.counts = np.concatenate((m.counts, np.zeros_like(m.counts)))
+        m.counts[m.used] = found
+        self[word] = m.used
+        m.used += 1
+        return m.used - 1
 
 
 def pieces(text: str | None, words: int = 40) -> list[str]:
