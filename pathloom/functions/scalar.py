@@ -366,7 +366,7 @@ def _edge(a: Typed, field: str, kind: str) -> Typed:
 define("id", 1)(lambda a: Typed(a[0].col["_vid"], "any") if a[0].kind == "vertex" else _null("string"))
 define("_joinkey", 1)(lambda a: Typed(a[0].col["_vid"]) if a[0].kind == "vertex" else Typed(F.struct(*(a[0].col[k] for k in ("_type", "_src", "_dst", "_rank")))) if a[0].kind == "edge" else Typed(F.get(a[0].col, F.lit(0))) if a[0].kind == "list" else a[0])
 define("tags", 1)(lambda a: Typed(F.map_keys(a[0].col["_tags"]), "list", "string"))
-define("properties", 1)(lambda a: Typed(F.aggregate(F.map_values(a[0].col["_tags"]), F.create_map().cast("map<string,string>"), lambda s, m: F.map_concat(F.map_filter(s, lambda k, v: ~F.map_contains_key(m, k)), m)), "map", "string") if a[0].kind == "vertex" else Typed(a[0].col["_props"], "map", "string") if a[0].kind == "edge" else a[0])
+define("properties", 1)(lambda a: Typed(F.aggregate(F.map_values(a[0].col["_tags"]), F.create_map().cast("map<string,string>"), lambda s, m: F.map_concat(F.map_filter(s, lambda k, v: ~F.map_contains_key(m, k)), m)), "map", "string", info=a[0].info) if a[0].kind == "vertex" else Typed(a[0].col["_props"], "map", "string") if a[0].kind == "edge" else a[0])
 define("type", 1)(lambda a: _edge(a[0], "_type", "string"))
 define("typeid", 1)(lambda a: Typed(F.abs(F.crc32(a[0].col["_type"])), "int"))
 define("src", 1)(lambda a: _edge(a[0], "_src", "any"))

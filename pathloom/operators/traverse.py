@@ -19,6 +19,21 @@ CUT_EVERY = 3
 OPEN_END = 2**31 - 1
 
 
+def given(ids: DataFrame, values: list | None) -> DataFrame:
+    """Start ids that a statement lists: their values go along, so that the first hop can filter its scan by them."""
+    if values is not None:
+        ids._given_ids = values
+    return ids
+
+
+def around(view: DataFrame, here: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """Edges of a view that leave the ids of a frontier. For listed start ids that is a filter on the scan, not a join."""
+    values = getattr(start, "_given_ids", None) if start is not None else None
+    if values is not None and here.columns == ["_vid"]:
+        return view.where(F.col("_from").isin(values))
+    return here.join(view, here["_vid"] == view["_from"]).drop("_vid")
+
+
 def _frontier(df: DataFrame, hop: int) -> DataFrame:
     return cut(df) if hop % CUT_EVERY == 0 else df
 
@@ -34,7 +49,7 @@ def expand(view: DataFrame, start: DataFrame, steps: int, vid: str = "_vid", ori
     keep = ["_origin"] if origin else []
     hops = view.select("_from", "_to")
     for k in range(1, steps + 1):
-        here = here.join(hops, here["_vid"] == hops["_from"]).select(*keep, F.col("_to").alias("_vid")).distinct()
+        here = around(hops, here, start if k == 1 else None).select(*keep, F.col("_to").alias("_vid")).distinct()
         here = _frontier(here, k) if k < steps else here
     return here
 
@@ -59,14 +74,14 @@ def expand_all(
     keep = ["_origin"] if origin else []
     steps = []
     for k in range(1, last + 1):
-        rows = here.join(view, here["_vid"] == view["_from"]).drop("_vid")
+        rows = around(view, here, start if k == 1 else None)
         if caps:
             rows = rows.limit(caps[k - 1]) if step_limits else rows.orderBy(F.rand(seed + k)).limit(caps[k - 1])
             rows = cut(rows)
         if k >= first:
             steps.append(rows.withColumn("_step", F.lit(k)))
         if k < last:
-            following = rows if caps else here.join(view.select("_from", "_to"), F.col("_vid") == F.col("_from"))
+            following = rows if caps else around(view.select("_from", "_to"), here, start if k == 1 else None)
             here = _frontier(following.select(*keep, F.col("_to").alias("_vid")).distinct(), k)
     if not steps:
         return here.join(view, here["_vid"] == view["_from"]).drop("_vid").withColumn("_step", F.lit(0)).limit(0)
@@ -79,7 +94,7 @@ def get_neighbors(view: DataFrame, start: DataFrame, vid: str = "_vid", conditio
     The rank filter lets Spark drop surplus rows of an id in each task before the shuffle.
     """
     here = start.select(F.col(vid).alias("_vid")).where("_vid is not null").distinct()
-    rows = here.join(view, here["_vid"] == view["_from"]).drop("_vid")
+    rows = around(view, here, start)
     if condition is not None:
         rows = rows.where(condition)
     count = per_vertex_limit if per_vertex_limit is not None else per_vertex_sample
@@ -172,6 +187,6 @@ def traverse(
 
 
 def append_vertices(vertices: DataFrame, rows: DataFrame, vid: str) -> DataFrame:
-    """Keep rows whose vertex exists (a dangling edge leads nowhere in a pattern)."""
-    ids = vertices.select(F.col("_vid").alias("__v")).distinct()
-    return rows.join(ids, rows[vid] == ids["__v"], "left_semi")
+    """Keep rows whose vertex exists (a dangling edge leads nowhere in a pattern); ``vertices`` may repeat ids."""
+    ids = vertices.select(F.col("_vid").alias("__v"))
+    return rows.join(ids, F.col(f"`{vid}`") == F.col("__v"), "left_semi")

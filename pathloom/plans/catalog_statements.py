@@ -69,6 +69,16 @@ def _create_space(session, s):
     session.spaces[s["name"]] = Space(session.spark, s["name"], "int64" if vid.startswith("int") else "string", options={"vid_type": vid} | options)
 
 
+def _alter_space(session, s):
+    """Change a space's options; the type of its ids is fixed."""
+    space = session.spaces.get(s["name"])
+    if space is None:
+        raise SemanticError(f"no space named {s['name']}")
+    if "vid_type" in s["options"]:
+        raise SemanticError("the type of vertex ids cannot be changed")
+    session.spaces[s["name"]] = replace(space, options={**space.options, **s["options"]})
+
+
 def _cleared(space: Space) -> Space:
     return replace(space, tags={n: t.limit(0) for n, t in space.tags.items()}, edges={n: t.limit(0) for n, t in space.edges.items()})
 
@@ -247,7 +257,8 @@ def _show_create(session, s):
     kind, name = s["kind"], s["name"]
     if kind == "space":
         sp = session.spaces[name]
-        text = f"CREATE SPACE `{name}` (vid_type = {sp.options.get('vid_type', sp.vid_type).upper()})"
+        more = "".join(f", {k} = {v}" for k, v in sorted(sp.options.items()) if k not in ("vid_type", "closed"))
+        text = f"CREATE SPACE `{name}` (vid_type = {sp.options.get('vid_type', sp.vid_type).upper()}{more})"
     elif kind == "index":
         i = session.space.indexes[name]
         text = f"CREATE {i['kind'].upper()} INDEX `{name}` ON `{i['on']}` ({', '.join(i['fields'])})"

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathloom import values as V
 from pathloom import functions as _functions  # noqa: F401  registers all functions
@@ -233,6 +234,12 @@ def _c_attr(e, s):
         return Typed((micro if name == "microsecond" else (micro / 1000).cast("long")).cast("long"), "int")
     if isinstance(x.info, dict) and isinstance(x.info.get(name), Typed):
         return Typed(x.col[name], x.info[name].kind, x.info[name].element)
+    if x.kind in ("map", "vertex") and isinstance(x.info, dict) and isinstance(x.info.get(name), T.DataType):
+        # properties travel as text; one that has the same type under every tag is read as that type
+        text = x.col[name] if x.kind == "map" else call("properties", [x]).col[name]
+        return Typed(text.cast(x.info[name]), *V.kind_of(x.info[name]))
+    if x.kind == "map" and isinstance(x.info, dict) and any(isinstance(t, T.DataType) for t in x.info.values()):
+        return Typed(x.col[name], x.element)
     if x.kind == "map":
         return Typed(x.col[name], x.element) if not isinstance(x.info, dict) else Typed(F.lit(None), "null")
     if x.kind == "edge":

@@ -89,7 +89,7 @@ def scope(st: State) -> Scope:
         c = F.col(f"`{v}`")
         if kind == "node":
             whole = f"__w_{v}"
-            names[v] = Typed(F.col(f"`{whole}`") if whole in types else F.when(c.isNotNull(), F.struct(c.alias("_vid"))), "vertex")
+            names[v] = Typed(F.col(f"`{whole}`") if whole in types else F.when(c.isNotNull(), F.struct(c.alias("_vid"))), "vertex", info=st.space.property_types())
         elif kind == "edge":
             names[v] = Typed(c, "edge", info=st.info.get(v))
         elif kind == "edges":
@@ -333,7 +333,12 @@ def _pattern(st: State, p: Pattern, conds: list[Expr], everything: list[Expr]) -
             st.df = st.df.withColumn(names[k], F.reverse(names[k]))
         used.append((names[k], e.variable))
         st.kinds[names[k]] = "edges" if e.variable else "edge"
-        _bound_node(st, p.nodes[there], aliases[there], conds, again=aliases[there] in st.kinds)
+        again = aliases[there] in st.kinds
+        if not again and there in (0, len(p.nodes) - 1):
+            _existing(st, p.nodes[there], aliases[there])
+        if from_edges and k == 0:
+            _existing(st, first, aliases[0])
+        _bound_node(st, p.nodes[there], aliases[there], conds, again)
     if whole:
         def vertex(c):
             return F.struct(F.col(f"`{c}`").alias("_vid"))
@@ -354,6 +359,12 @@ def _pattern(st: State, p: Pattern, conds: list[Expr], everything: list[Expr]) -
         _apply(st, conds)
 
 
+def _existing(st: State, n: Node, alias: str) -> None:
+    """Drop rows in which a pattern ends at an id without a vertex; labels and properties tell that by themselves."""
+    if not n.labels and not n.props and not st.space.options.get("closed"):
+        st.df = traverse.append_vertices(st.space.vertex_rows(), st.df, alias)
+
+
 def _edge_props(st: State, e: Edge, types: list[str], everything: list[Expr]) -> list[str]:
     """Properties of an edge variable that any expression reads; all if it is used as a whole or inside a list."""
     have = list(dict.fromkeys(c for t in types for c in st.space.edges[t].columns[3:]))

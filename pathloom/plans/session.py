@@ -37,8 +37,9 @@ class Session:
         return self.spaces[self.current]
 
     def replace_space(self, space: Space) -> None:
-        """Put a changed space in place of the one of its name."""
-        self.spaces[space.name] = space
+        """Put a changed space in place of the one of its name; what it declared of its edges' ends may no longer hold."""
+        options = {k: v for k, v in space.options.items() if k != "closed"}
+        self.spaces[space.name] = replace(space, options=options)
 
     def execute(self, text: str) -> DataFrame | None:
         """Run all statements of a text; the result of the last one."""
@@ -102,7 +103,8 @@ class Session:
         cols = [compile_expr(x, Scope(parameters=self.parameters)) for x in e]
         kind = "long" if self.space.vid_type.startswith("int") else "string"
         ids = self.spark.range(1).select(F.explode(F.array_distinct(F.array(*(c.col.cast(kind) for c in cols)))).alias("_vid"))
-        return ids, "_vid", None
+        known = [c.literal for c in cols] if all(c.is_literal and c.literal is not None for c in cols) else None
+        return traverse.given(ids, [int(x) if kind == "long" else str(x) for x in known] if known else None), "_vid", None
 
     def finish(self, df: DataFrame, columns: list[Column], scope: Scope, distinct: bool = False, allow_star: DataFrame | None = None) -> DataFrame:
         """Project the yielded columns, grouping by those without aggregates if any has one."""
@@ -249,7 +251,7 @@ class Session:
                 return col(f"__{e.op}_{e.args[0]}_{e.args[1]}")
             if e.op in ("source_vertex", "target_vertex"):
                 at = "_from" if e.op == "source_vertex" else "_to"
-                return Typed(F.col(f"__{e.op}") if f"__{e.op}" in kinds else F.struct(F.col(at).alias("_vid")), "vertex")
+                return Typed(F.col(f"__{e.op}") if f"__{e.op}" in kinds else F.struct(F.col(at).alias("_vid")), "vertex", info=space.property_types())
             if e.op in ("input", "variable"):
                 name = f"__in_{e.args[-1]}"
                 if name not in kinds:
@@ -304,7 +306,7 @@ class Session:
                     raise SemanticError(f"{name} has no property {e.args[1]}")
                 return Typed(F.col(f"`{e.args[1]}`"), *kinds[e.args[1]])
             if is_tag and e == Expr("name", ("vertex",)):
-                return Typed(F.struct(F.col("_vid").alias("_vid"), F.create_map(F.lit(name), bag).alias("_tags")), "vertex")
+                return Typed(F.struct(F.col("_vid").alias("_vid"), F.create_map(F.lit(name), bag).alias("_tags")), "vertex", info=self.space.property_types())
             if not is_tag and e == Expr("name", ("edge",)):
                 return Typed(F.struct(F.lit(name).alias("_type"), "_src", "_dst", "_rank", F.lit(1).alias("_dir"), *props, bag.alias("_props")), "edge", info={p: kinds[p][0] for p in props})
             return None
@@ -316,10 +318,14 @@ class Session:
         space = self.space
         start, vid, _ = self.source(s["from"], piped)
         ids = start.where("_vid is not null").distinct()
+        known = getattr(start, "_given_ids", None)
+        if known is not None:
+            # listed ids become a filter on the scans
+            space = replace(space, tags={n: t.where(F.col("_vid").isin(known)) for n, t in space.tags.items()})
         tags = list(space.tags) if s["on"] == ["*"] else s["on"]
         uses = [x for c in (s["yield"]["columns"] if s["yield"] else []) for x in c.expr.walk()]
         if s["yield"] and len(tags) == 1 and not any(x == Expr("name", ("vertex",)) for x in uses):
-            df = space.tag(tags[0]).join(ids, "_vid", "left_semi")
+            df = space.tag(tags[0]) if known is not None else space.tag(tags[0]).join(ids, "_vid", "left_semi")
             return self.finish(df, s["yield"]["columns"], self._row_scope(df, tags[0], True), s["yield"]["distinct"])
         for t in tags:
             space.tag(t)
@@ -336,7 +342,7 @@ class Session:
             if e.op == "attr" and e.args[0].op == "name" and e.args[0].args[0] in tags:
                 n = f"__{e.args[0].args[0]}_{e.args[1]}"
                 return Typed(F.col(f"`{n}`"), *kinds[n])
-            return Typed(F.col("__vertex"), "vertex") if e == Expr("name", ("vertex",)) else None
+            return Typed(F.col("__vertex"), "vertex", info=space.property_types()) if e == Expr("name", ("vertex",)) else None
 
         columns = s["yield"]["columns"] if s["yield"] else [Column(Expr("name", ("vertex",)), "vertices_")]
         return self.finish(df, columns, Scope({}, special, self.parameters), bool(s["yield"] and s["yield"]["distinct"]))
@@ -358,7 +364,12 @@ class Session:
         if len(s["on"]) != 1:
             raise SemanticError("edges of one type are fetched at a time")
         name = s["on"][0]
-        df = self.space.edge(name).join(self.edge_keys(s["keys"], piped), ["_src", "_dst", "_rank"], "left_semi")
+        table = self.space.edge(name)
+        if all(k[0].op not in ("input", "variable") for k in s["keys"]):
+            from_ids = [compile_expr(k[0], self.input_scope(None)) for k in s["keys"]]
+            if all(c.is_literal and c.literal is not None for c in from_ids):
+                table = table.where(F.col("_src").isin([c.literal for c in from_ids]))
+        df = table.join(self.edge_keys(s["keys"], piped), ["_src", "_dst", "_rank"], "left_semi")
         columns = s["yield"]["columns"] if s["yield"] else [Column(Expr("name", ("edge",)), "edges_")]
         return self.finish(df, columns, self._row_scope(df, name, False), bool(s["yield"] and s["yield"]["distinct"]))
 

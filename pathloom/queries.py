@@ -72,7 +72,8 @@ def _graph(spark: SparkSession, sf_dir: str) -> Space:
     events = t("events")
     nxt = events.select((F.col("event_id") - 1).alias("event_id"), F.col("user_id").alias("to_user"))
     hand = events.join(nxt, "event_id")
-    return edge("handoff", hand, "user_id", CUSTOMER, "to_user", CUSTOMER, F.col("event_type").alias("kind"), F.col("value"), rank="event_id")
+    # foreign keys: every edge ends at a vertex
+    return edge("handoff", hand, "user_id", CUSTOMER, "to_user", CUSTOMER, F.col("event_type").alias("kind"), F.col("value"), rank="event_id").closed()
 
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}

@@ -106,6 +106,29 @@ class Space:
             out = one if out is None else out.union(one)
         return out.distinct()
 
+    def vertex_rows(self) -> DataFrame:
+        """Vertex ids, one row for each tag of a vertex."""
+        out = None
+        for name in self.tags:
+            one = self.tag(name).select("_vid")
+            out = one if out is None else out.union(one)
+        return self.vertices() if out is None else out
+
+    def closed(self) -> Space:
+        """The space declared to have no dangling edges, as foreign keys grant; patterns then need not look for them.
+
+        A statement that changes data or declarations ends it.
+        """
+        return replace(self, options={**self.options, "closed": True})
+
+    def property_types(self) -> dict[str, T.DataType]:
+        """Types of the vertex properties that have one type wherever they occur."""
+        found: dict[str, T.DataType | None] = {}
+        for t in self.tags.values():
+            for f in t.schema.fields[1:]:
+                found[f.name] = f.dataType if found.get(f.name, f.dataType) == f.dataType else None
+        return {k: v for k, v in found.items() if isinstance(v, T.AtomicType) and not isinstance(v, T.BinaryType)}
+
     def edge_types(self, names: list[str] | None = None) -> list[str]:
         """The given edge types, or all; unknown names are an error."""
         for n in names or []:
