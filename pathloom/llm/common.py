@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.runtime import cut, hadoop_path, shared_dir
+from pathloom.runtime import cut, hadoop_path, shared_dir, temporary
 
 __all__ = ["batch", "connected_components", "crc_mod", "cut", "discard", "held", "map_batches", "shared_dir", "store", "table", "temporary"]
 
@@ -20,14 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def temporary(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; what is written there goes when the application ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    fs, where = hadoop_path(spark, path)
-    fs.deleteOnExit(where)
-    return path
-
-
 def store(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write a columnar table to the shared folder and read it back."""
     path = temporary(df.sparkSession, label)
