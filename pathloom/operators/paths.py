@@ -18,6 +18,11 @@ def _ids(df: DataFrame, col: str, name: str) -> DataFrame:
     return df.select(F.col(col).alias(name)).where(F.col(name).isNotNull()).distinct()
 
 
+def _written(view: DataFrame, props: list[str] | None) -> DataFrame:
+    """The edges of a search, written once: every level reads the columns it needs and computes no view again."""
+    return cut(view.select("_from", "_to", edge_struct(props or []).alias("_edge")))
+
+
 def distances(view: DataFrame, start: DataFrame, steps: int, vid: str = "_vid", backward: bool = False) -> DataFrame:
     """Breadth-first distance from the nearest start id: ``(_vid, _depth)`` up to ``steps``."""
     a, b = ("_to", "_from") if backward else ("_from", "_to")
@@ -42,14 +47,14 @@ def shortest_paths(view: DataFrame, sources: DataFrame, targets: DataFrame, step
     whose edges come first). A pair of one id with itself is left out. Trails by nature: a shortest path repeats no vertex.
     """
     goal = cut(_ids(targets, dst, "_end"))
-    back = distances(view, goal, steps, "_end", backward=True).select(F.col("_vid").alias("__v"), F.col("_depth").alias("__left"))
-    back = cut(back)
-    edges = view.select(F.col("_from").alias("__from"), F.col("_to").alias("__to"), edge_struct(props or []).alias("__e"))
+    base = _written(view, props)
+    back = distances(base, goal, steps, "_end", backward=True).select(F.col("_vid").alias("__v"), F.col("_depth").alias("__left"))
+    edges = base.select(F.col("_from").alias("__from"), F.col("_to").alias("__to"), F.col("_edge").alias("__e"))
     # edges that lead towards a target are written once and read at every level
     edges = cut(edges.join(back.where(F.col("__left") < steps).select(F.col("__v").alias("__to"), "__left"), "__to"))
     seen = cut(_ids(sources, src, "_start").withColumn("_vid", F.col("_start")).join(back.withColumnRenamed("__v", "_vid").select("_vid"), "_vid", "left_semi").select("_start", "_vid", F.lit(0).alias("_depth")))
     layer, preds = seen.select("_start", "_vid"), []
-    open_pairs = None
+    wanted = None
     for k in range(1, steps + 1):
         hop = layer.join(edges, (layer["_vid"] == edges["__from"]) & (F.col("__left") <= steps - k)).select("_start", F.col("__from").alias("_prev"), F.col("__to").alias("_vid"), "__e")
         hop = hop.join(seen.select("_start", "_vid"), ["_start", "_vid"], "left_anti")
@@ -59,15 +64,14 @@ def shortest_paths(view: DataFrame, sources: DataFrame, targets: DataFrame, step
         if hop.isEmpty():
             break
         preds.append(hop)
-        layer = cut(hop.select("_start", "_vid").distinct())
+        layer = hop.select("_start", "_vid").distinct()
         seen = seen.union(layer.withColumn("_depth", F.lit(k)))
         seen = cut(seen) if k % CUT_SEEN == 0 else seen
         # a source whose targets are all found needs no further level
-        hit = seen.join(goal, seen["_vid"] == goal["_end"]).groupBy("_start").agg(F.count("*").alias("n"))
-        total = goal.count() if open_pairs is None else open_pairs
-        open_pairs = total
-        done = hit.where(F.col("n") >= total).select("_start")
-        layer = layer.join(done, "_start", "left_anti")
+        if k < steps:
+            hit = seen.join(goal, seen["_vid"] == goal["_end"]).groupBy("_start").agg(F.count("*").alias("n"))
+            wanted = goal.count() if wanted is None else wanted
+            layer = layer.join(hit.where(F.col("n") >= wanted).select("_start"), "_start", "left_anti")
     # from the last level to the first: paths of all lengths grow at their front together
     path = None
     for k in range(len(preds), 0, -1):
@@ -95,8 +99,9 @@ def all_paths(view: DataFrame, sources: DataFrame, targets: DataFrame, steps: in
     if edge_filter is not None:
         view = view.where(edge_filter)
     goal = cut(_ids(targets, dst, "_end"))
-    back = distances(view, goal, steps, "_end", backward=True).select(F.col("_vid").alias("__to"), F.col("_depth").alias("__left"))
-    edges = view.select(F.col("_from").alias("__from"), F.col("_to").alias("__to"), edge_struct(props or []).alias("__e"))
+    base = _written(view, props)
+    back = distances(base, goal, steps, "_end", backward=True).select(F.col("_vid").alias("__to"), F.col("_depth").alias("__left"))
+    edges = base.select(F.col("_from").alias("__from"), F.col("_to").alias("__to"), F.col("_edge").alias("__e"))
     edges = cut(edges.join(back.where(F.col("__left") < steps), "__to"))
     walk = _ids(sources, src, "_start").select("_start", F.col("_start").alias("__at"), F.array("_start").alias("_nodes"))
     kind = edges.schema["__e"].dataType.simpleString()

@@ -29,6 +29,8 @@ class Session:
         self.current = space.name if space else None
         self.variables: dict[str, DataFrame] = {}
         self.parameters = dict(parameters or {})
+        # values of the type time need it
+        self.spark.conf.set("spark.sql.timeType.enabled", "true")
 
     @property
     def space(self) -> Space:
@@ -405,7 +407,11 @@ class Session:
             df = paths.shortest_paths(view, src, dst, s["steps"], a, b, single=s["single"], props=keep)
         else:
             df = paths.all_paths(view, src, dst, s["steps"], a, b, no_loop=s["kind"] == "noloop", props=keep)
-        value = F.struct(F.transform("_nodes", lambda v: F.struct(v.alias("_vid"))).alias("_nodes"), F.col("_rels"))
+        if s["props"]:
+            df = space.path_values(df)
+            value = F.struct("_nodes", "_rels")
+        else:
+            value = F.struct(F.transform("_nodes", lambda v: F.struct(v.alias("_vid"))).alias("_nodes"), F.col("_rels"))
         scope = Scope({"path": Typed(value, "path")}, lambda e: None, self.parameters)
         columns = s["yield"]["columns"] if s["yield"] else [Column(Expr("name", ("path",)), "path")]
         return self.finish(df, columns, scope)

@@ -234,14 +234,26 @@ def _all_shortest(space):
     return _path_text(paths.shortest_paths(_sparse(space), _ids(space, 2, 12), _ids(space, 32, 42, 52), 5))
 
 
-@_call("t12_single_shortest_path", f"WITH RECURSIVE {_BFS} SELECT a AS _start, b AS _end, CAST(n AS BIGINT) AS _length FROM m WHERE a = 2 AND b = 32")
+# of all shortest paths of a pair the one whose edges, from the first on, come first
+_ONE = "SELECT w.a AS _start, w.b AS _end, CAST(w.n AS BIGINT) AS _length, array_to_string(ns, '>') AS nodes FROM w JOIN m ON m.a = w.a AND m.b = w.b AND m.n = w.n"
+_VALID = f"SELECT _start, _end, _length, count(*) AS n, CAST(1 AS BIGINT) AS found FROM ({_ONE}) GROUP BY ALL"
+
+
+def _one_of_all(space, starts, ends):
+    """Single shortest paths held against all shortest ones: how many a pair has, and whether the one found is among them."""
+    every = _path_text(paths.shortest_paths(_sparse(space), starts, ends, 5)).groupBy("_start", "_end", "_length").agg(F.count("*").alias("n"), F.collect_set(F.concat_ws("|", "nodes", "ranks")).alias("all"))
+    one = _path_text(paths.shortest_paths(_sparse(space), starts, ends, 5, single=True)).select("_start", "_end", "_length", F.concat_ws("|", "nodes", "ranks").alias("p"))
+    return one.join(every, ["_start", "_end", "_length"]).select("_start", "_end", "_length", "n", F.array_contains("all", F.col("p")).cast("long").alias("found"))
+
+
+@_call("t12_single_shortest_path", f"WITH RECURSIVE {_BFS} {_VALID.replace('GROUP BY ALL', 'WHERE _start = 2 AND _end = 32 GROUP BY ALL')}")
 def _single_shortest(space):
-    return paths.shortest_paths(_sparse(space), _ids(space, 2), _ids(space, 32), 5, single=True).select("_start", "_end", "_length")
+    return _one_of_all(space, _ids(space, 2), _ids(space, 32))
 
 
-@_call("t13_shortest_lengths_many_pairs", f"WITH RECURSIVE {_BFS} SELECT a AS _start, b AS _end, CAST(n AS BIGINT) AS _length FROM m")
+@_call("t13_shortest_lengths_many_pairs", f"WITH RECURSIVE {_BFS} {_VALID}")
 def _many(space):
-    return paths.shortest_paths(_sparse(space), _ids(space, 2, 12), _ids(space, 32, 42, 52), 5, single=True).select("_start", "_end", "_length")
+    return _one_of_all(space, _ids(space, 2, 12), _ids(space, 32, 42, 52))
 
 
 _ALL = f"{SPARSE}, w AS (SELECT s AS a, d AS b, [s, d] AS ns, [r] AS rs, 1 AS n FROM e WHERE s = 2 UNION ALL SELECT w.a, e.d, list_append(ns, e.d), list_append(rs, e.r), n + 1 FROM w JOIN e ON e.s = w.b WHERE n < 4 AND NOT list_contains(rs, e.r))"
@@ -273,6 +285,15 @@ def _subgraph_vertices(space):
     return subgraph.subgraph(_sparse(space), _ids(space, 2), 2)[0].select(F.col("_step").alias("step"), F.col("_vid").alias("v"))
 
 
+_BOTH = f"{SPARSE}, b AS (SELECT s AS f, d AS t, s, d, r FROM e UNION ALL SELECT d, s, s, d, r FROM e WHERE s <> d), l0 AS (SELECT 2 AS v), l1 AS (SELECT DISTINCT t AS v FROM b WHERE f IN (SELECT v FROM l0) EXCEPT SELECT v FROM l0)"
+
+
+@_call("t17_subgraph_both", f"WITH {_BOTH} SELECT DISTINCT s, d, r FROM b WHERE f IN (SELECT v FROM l0) UNION SELECT DISTINCT s, d, r FROM b WHERE f IN (SELECT v FROM l1) AND t IN (SELECT v FROM l0 UNION SELECT v FROM l1)")
+def _subgraph_both(space):
+    edges = subgraph.subgraph(_sparse(space, "both"), _ids(space, 2), 1, both_types=["handoff"])[1]
+    return edges.select(F.col("_src").alias("s"), F.col("_dst").alias("d"), F.col("_rank").alias("r"))
+
+
 _say("t19_path_build", "MATCH p = (c:customer)-[:in_nation]->(n:nation)-[:in_region]->(r:region) WHERE c.customer.acctbal > 9500 RETURN length(p) AS n, [x IN nodes(p) | id(x)][2] AS last, id(startNode(p)) AS first", "SELECT CAST(2 AS BIGINT) AS n, CAST(n_regionkey AS BIGINT)*10 AS last, c_custkey*10+2 AS first FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 9500")
 
 
@@ -354,7 +375,7 @@ _say("p3_dedup", "LOOKUP ON part YIELD DISTINCT part.brand AS brand, part.type A
 _say("p4_unwind", "UNWIND [3, 1, 2, 3] AS x WITH x WHERE x > 1 RETURN x, x * x AS y", "SELECT CAST(x AS BIGINT) AS x, CAST(x*x AS BIGINT) AS y FROM (SELECT unnest([3,1,2,3]) AS x) WHERE x > 1")
 _say("p5_assign", "$a = GO FROM 2, 12 OVER placed YIELD dst(edge) AS o; GO FROM $a.o OVER holds YIELD $a.o AS o, holds._dst AS p, holds.quantity AS q", f"WITH {PLACED}, {LINES} SELECT li.o AS o, p, q FROM placed JOIN li ON li.o = placed.d WHERE s IN (2, 12)")
 _say("p7_pattern_semi", "MATCH (c:customer) WHERE (c)-[:placed]->() AND c.customer.acctbal > 5000 RETURN id(c) AS id", "SELECT c_custkey*10+2 AS id FROM customer WHERE c_acctbal > 5000 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-_say("p7_pattern_anti", "MATCH (c:customer) WHERE NOT (c)-[:placed]->() RETURN id(c) AS id, c.customer.name AS name", "SELECT c_custkey*10+2 AS id, c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_say("p7_pattern_anti", "MATCH (c:customer) WHERE NOT (c)-[:handoff]->() RETURN id(c) AS id, c.customer.name AS name", f"WITH {H} SELECT c_custkey*10+2 AS id, c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM h WHERE s = c_custkey*10+2)")
 _say("p9_rollup", "MATCH (n:nation) RETURN n.nation.name AS name, size((n)<-[:in_nation]-()) AS n", "SELECT n_name AS name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n FROM nation")
 _say(
     "px_case_and_predicates",
@@ -413,7 +434,8 @@ _SA, _SB = "SELECT p_brand AS b FROM part WHERE p_size < 12", "SELECT p_brand AS
 _say("u1_union_all", f"{_A} UNION ALL {_B}", f"{_SA} UNION ALL {_SB}")
 _say("u2_union", f"{_A} UNION {_B}", f"{_SA} UNION {_SB}")
 _say("u3_intersect_keeps_duplicates", f"{_A} INTERSECT {_B}", f"SELECT * FROM ({_SA}) WHERE b IN ({_SB})")
-_say("u4_minus_keeps_duplicates", f"{_A} MINUS {_B}", f"SELECT * FROM ({_SA}) WHERE b NOT IN ({_SB})")
+_C, _SC = "LOOKUP ON part WHERE part.brand < \"Brand#3\" YIELD part.brand AS b", "SELECT p_brand FROM part WHERE p_brand < 'Brand#3'"
+_say("u4_minus_keeps_duplicates", f"{_A} MINUS {_C}", f"SELECT * FROM ({_SA}) WHERE b NOT IN ({_SC})")
 _say("u6_match_sets", "MATCH (c:customer) WHERE c.customer.acctbal > 9000 RETURN c.customer.segment AS s UNION MATCH (c:customer) WHERE c.customer.acctbal < 0 RETURN c.customer.segment AS s", "SELECT c_mktsegment AS s FROM customer WHERE c_acctbal > 9000 UNION SELECT c_mktsegment FROM customer WHERE c_acctbal < 0")
 
 # -- functions (F) ------------------------------------------------------------------------------------------
@@ -498,3 +520,104 @@ def _dump(space):
 @_call("l3_top_n_api", "SELECT p_name AS name, p_retailprice AS price, p_partkey*10+4 AS _vid FROM part ORDER BY price DESC, _vid LIMIT 5 OFFSET 2")
 def _top(space):
     return relational.top_n(space.tag("part").select("name", "price", "_vid"), [("price", True), ("_vid", False)], 5, 2)
+
+
+# -- more functions, expressions and catalog statements ------------------------------------------------------
+_say("t10_dangling_edges", "INSERT EDGE placed(total) VALUES 2 -> 88888885: (7.5); MATCH (c:customer)-[e:placed]->(o) WHERE id(c) == 2 RETURN id(o) AS o, e.total AS total", f"WITH {PLACED} SELECT d AS o, total FROM placed WHERE s = 2")
+_say("t10_dangling_edges_of_go", "INSERT EDGE placed(total) VALUES 2 -> 88888885: (7.5); GO FROM 2 OVER placed YIELD dst(edge) AS o", f"WITH {PLACED} SELECT d AS o FROM placed WHERE s = 2 UNION ALL SELECT 88888885")
+_say("e9_typed_properties", "MATCH (p:part) WHERE properties(p).size > 40 RETURN id(p) AS id, properties(p).size + 1 AS n, properties(p).price / 2 AS half, properties(p).brand AS b", "SELECT p_partkey*10+4 AS id, CAST(p_size + 1 AS BIGINT) AS n, p_retailprice / 2 AS half, p_brand AS b FROM part WHERE p_size > 40")
+_say("t7_open_end", 'MATCH (n:nation)-[e:in_region*]->(r) RETURN id(n) AS n, id(r) AS r, size(e) AS k', "SELECT CAST(n_nationkey AS BIGINT)*10+1 AS n, CAST(n_regionkey AS BIGINT)*10 AS r, CAST(1 AS BIGINT) AS k FROM nation")
+_CHAIN = "CREATE SPACE line(vid_type = int64); USE line; CREATE TAG dot(n int); CREATE EDGE next(); INSERT VERTEX dot(n) VALUES " + ", ".join(f"{k}: ({k})" for k in range(13)) + "; INSERT EDGE next() VALUES " + ", ".join(f"{k} -> {k + 1}: ()" for k in range(12)) + "; "
+_say("t7_twelve_hops", _CHAIN + "MATCH (a:dot)-[e:next*]->(b:dot) WHERE id(a) == 0 RETURN id(b) AS b, size(e) AS n", "SELECT CAST(x AS BIGINT) AS b, CAST(x AS BIGINT) AS n FROM (SELECT unnest(range(1, 13)) AS x)")
+_say(
+    "f_more_numbers",
+    "LOOKUP ON part YIELD id(vertex) AS id, round(exp(part.size / 50.0), 6) AS a, round(log2(part.size), 6) AS b, round(asin(part.size / 100.0), 6) AS c, round(cos(part.size), 6) AS d, round(acos(part.size / 100.0), 6) AS e, round(tan(part.size), 6) AS f, round(atan(part.size), 6) AS g, round(e(), 6) AS h, round(pi(), 6) AS i",
+    "SELECT p_partkey*10+4 AS id, round(exp(p_size / 50.0), 6) AS a, round(log2(p_size), 6) AS b, round(asin(p_size / 100.0), 6) AS c, round(cos(p_size), 6) AS d, round(acos(p_size / 100.0), 6) AS e, round(tan(p_size), 6) AS f, round(atan(p_size), 6) AS g, round(exp(1), 6) AS h, round(pi(), 6) AS i FROM part",
+)
+_say(
+    "f_random_and_clock",
+    "LOOKUP ON part YIELD id(vertex) AS id, rand() >= 0.0 AND rand() < 1.0 AS a, rand32(5, 9) >= 5 AND rand32(5, 9) < 9 AS b, rand64(100) < 100 AS c, now() > 1600000000 AS d, now() - timestamp() < 5 AS e, size(uuid()) AS f",
+    "SELECT p_partkey*10+4 AS id, true AS a, true AS b, true AS c, true AS d, true AS e, CAST(36 AS BIGINT) AS f FROM part",
+)
+_say(
+    "f_more_strings",
+    'LOOKUP ON part YIELD id(vertex) AS id, lower(part.brand) AS a, ltrim("  x ") AS b, rtrim("  x ") AS c, hash(part.name) == hash(part.name) AS d, hash(part.name) == hash(part.brand) AS e, udf_is_in(part.size, 1, 2, 3) AS f, round(cos_similarity(1, part.size, 2, 3), 6) AS g',
+    "SELECT p_partkey*10+4 AS id, lower(p_brand) AS a, 'x ' AS b, '  x' AS c, true AS d, false AS e, p_size IN (1, 2, 3) AS f, round((2 + 3.0 * p_size) / (sqrt(1 + p_size * p_size) * sqrt(13.0)), 6) AS g FROM part",
+)
+_say(
+    "f_more_times",
+    'YIELD toString(time("10:20:30")) AS a, toString(time({hour: 1, minute: 2, second: 3})) AS b, toString(datetime("2021-02-03T04:05:06")) AS c, datetime({year: 2020, month: 5}).month AS d, time("10:20:30").minute AS e, datetime("2021-02-03T04:05:06").second AS f',
+    "SELECT '10:20:30.000000000' AS a, '01:02:03.000000000' AS b, '2021-02-03T04:05:06.000000000' AS c, CAST(5 AS BIGINT) AS d, CAST(20 AS BIGINT) AS e, CAST(6 AS BIGINT) AS f",
+)
+_say(
+    "f_path_values",
+    "MATCH p = (c:customer)-[e:in_nation]->(n:nation)-[:in_region]->(r:region) WHERE c.customer.acctbal > 9900 RETURN id(c) AS c, size(relationships(p)) AS a, hasSameEdgeInPath(p) AS b, hasSameVertexInPath(p) AS d, id(startNode(reversePath(p))) AS f, _nodeid(p, 1) AS g, type(_edge(p, 0)) AS h, is_edge(e) AS i, is_edge(c) AS j, none_direct_src(e) AS k, typeid(e) > 0 AS l, _joinkey(c) == id(c) AS m, _any(null, id(n)) AS o",
+    "SELECT c_custkey*10+2 AS c, CAST(2 AS BIGINT) AS a, false AS b, false AS d, CAST(n_regionkey AS BIGINT)*10 AS f, CAST(n_nationkey AS BIGINT)*10+1 AS g, 'in_nation' AS h, true AS i, false AS j, c_custkey*10+2 AS k, true AS l, true AS m, CAST(n_nationkey AS BIGINT)*10+1 AS o FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 9900",
+)
+_say(
+    "f_more_geo",
+    'YIELD ST_AsText(ST_Point(1, 2)) AS a, ST_AsText(ST_Centroid(ST_GeogFromText("POINT(3 4)"))) AS b, ST_CoveredBy(ST_Point(5, 5), ST_GeogFromText("POLYGON((0 0,10 0,10 10,0 10,0 0))")) AS c, ST_CoveredBy(ST_Point(15, 5), ST_GeogFromText("POLYGON((0 0,10 0,10 10,0 10,0 0))")) AS d, size(S2_CoveringCellIds(ST_Point(1, 1))) AS e, ST_IsValid(ST_Point(1, 1)) AS f',
+    "SELECT 'POINT(1 2)' AS a, 'POINT(3 4)' AS b, true AS c, false AS d, CAST(1 AS BIGINT) AS e, true AS f",
+)
+_say(
+    "px_null_empty_casts",
+    'LOOKUP ON part YIELD id(vertex) AS id, CASE WHEN part.size > 25 THEN part.size END IS NULL AS a, CASE WHEN part.size > 25 THEN part.size END IS NOT NULL AS b, part.name IS EMPTY AS c, part.name IS NOT EMPTY AS d, (int)"17" + part.size AS e, (string)part.size AS f, (float)part.size / 2 AS g, (bool)"true" AS h',
+    "SELECT p_partkey*10+4 AS id, p_size <= 25 AS a, p_size > 25 AS b, false AS c, true AS d, CAST(17 + p_size AS BIGINT) AS e, CAST(p_size AS VARCHAR) AS f, p_size / 2.0::DOUBLE AS g, true AS h FROM part",
+)
+_say("t16_path_with_properties", "FIND SHORTEST PATH WITH PROP FROM 2 TO 0, 10, 20, 30, 40 OVER in_nation, in_region UPTO 3 STEPS YIELD path AS p | YIELD length($-.p) AS n, properties(endNode($-.p)).name AS region, properties(nodes($-.p)[1]).name AS nation, properties(startNode($-.p)).segment AS segment", "SELECT CAST(2 AS BIGINT) AS n, r_name AS region, n_name AS nation, c_mktsegment AS segment FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_custkey = 0")
+_say("p8_pattern_without_shared_names", "MATCH (r:region) WHERE (:nation)-[:in_region]->(:region) RETURN id(r) AS id", "SELECT CAST(r_regionkey AS BIGINT)*10 AS id FROM region")
+_say("a14_key_or_last", "LOOKUP ON nation YIELD nation.name AS n | GROUP BY $-.n YIELD $-.n AS n, upper($-.n) AS u, count(*) AS k", "SELECT n_name AS n, upper(n_name) AS u, count(*) AS k FROM nation GROUP BY 1")
+_say("j8_join_key_of_vertices", "MATCH (c:customer)-[:in_nation]->(n) WHERE c.customer.acctbal > 9900 MATCH (n)-[:in_region]->(r) RETURN id(c) AS c, id(r) AS r", "SELECT c_custkey*10+2 AS c, CAST(n_regionkey AS BIGINT)*10 AS r FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 9900")
+
+
+# samples cannot be told by SQL row by row, but their sizes, bounds and membership can
+@_call("l4_sample_checked", "SELECT CAST(10 AS BIGINT) AS n, CAST(10 AS BIGINT) AS ids, CAST(10 AS BIGINT) AS known")
+def _sample_checked(space):
+    got = Session(space.spark, space).execute("LOOKUP ON customer YIELD id(vertex) AS id | SAMPLE 10")
+    return got.join(space.tag("customer").select(F.col("_vid").alias("id"), F.lit(1).alias("k")), "id", "left").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.sum("k").alias("known"))
+
+
+@_call("e7_neighbor_sample_checked", f"WITH {PLACED} SELECT s AS _from, least(2, count(*)) AS n, least(2, count(*)) AS known FROM placed GROUP BY 1")
+def _neighbor_sample_checked(space):
+    got = traverse.get_neighbors(space.edge_view(["placed"], props=[]), space.tag("customer"), per_vertex_sample=2, seed=7)
+    known = space.edge("placed").select(F.col("_src").alias("_from"), F.col("_dst").alias("_to"), F.lit(1).cast("long").alias("k"))
+    return got.select("_from", "_to").join(known, ["_from", "_to"], "left").groupBy("_from").agg(F.count("*").alias("n"), F.sum("k").alias("known"))
+
+
+@_call("t6_step_bounds_checked", "SELECT CAST(7 AS BIGINT) AS limited, CAST(7 AS BIGINT) AS sampled")
+def _step_bounds(space):
+    n = [Session(space.spark, space).execute(f"GO 2 STEPS FROM 2 OVER placed, holds YIELD dst(edge) AS d {w} [5, 7]").agg(F.count("*").alias(a)) for w, a in (("LIMIT", "limited"), ("SAMPLE", "sampled"))]
+    return joins.cross(n[0], n[1])
+
+
+_DDL = 'CREATE SPACE lab(vid_type = FIXED_STRING(16), partition_num = 3); USE lab; CREATE TAG a(x int64 NOT NULL DEFAULT 5, s string); CREATE EDGE b(w double); CREATE TAG INDEX a_x ON a(x); CREATE EDGE INDEX b_w ON b(w); CREATE FULLTEXT TAG INDEX a_s ON a(s); '
+
+
+def _rows(columns: str, *rows: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t({columns})" if rows else f"SELECT * FROM (SELECT {', '.join(f'NULL::VARCHAR AS {c}' for c in columns.split(', '))}) WHERE false"
+
+
+_say("d_describe_edge", _DDL + 'ALTER EDGE b ADD (note string NOT NULL DEFAULT "-"); DESCRIBE EDGE b', _rows('"Field", "Type", "Null", "Default", "Comment"', "('w', 'double', 'YES', NULL::VARCHAR, NULL::VARCHAR)", "('note', 'string', 'NO', '-', NULL)"))
+_say("d_show_edges", _DDL + "SHOW EDGES", _rows('"Name"', "('b')"))
+_say("d_drop_edge", _DDL + "DROP EDGE INDEX b_w; DROP EDGE b; SHOW EDGES", _rows('"Name"'))
+_say("d_drop_tag", _DDL + "CREATE TAG c(); DROP TAG c; SHOW TAGS", _rows('"Name"', "('a')"))
+_say("d_drop_tag_index", _DDL + "DROP TAG INDEX a_x; SHOW TAG INDEXES", _rows('"Index Name", "By", "Columns"'))
+_say("d_describe_tag_index", _DDL + "DESCRIBE TAG INDEX a_x", _rows('"Field", "Type"', "('x', 'int64')"))
+_say("d_describe_edge_index", _DDL + "DESCRIBE EDGE INDEX b_w", _rows('"Field", "Type"', "('w', 'double')"))
+_say("d_show_edge_indexes", _DDL + "SHOW EDGE INDEXES", _rows('"Index Name", "By", "Columns"', "('b_w', 'b', 'w')"))
+_say("d_tag_index_status", _DDL + "SHOW TAG INDEX STATUS", _rows('"Name", "Index Status"', "('a_x', 'FINISHED')", "('a_s', 'FINISHED')"))
+_say("d_edge_index_status", _DDL + "SHOW EDGE INDEX STATUS", _rows('"Name", "Index Status"', "('b_w', 'FINISHED')"))
+_say("d_fulltext_indexes", _DDL + "SHOW FULLTEXT INDEXES", _rows('"Index Name", "By", "Columns"', "('a_s', 'a', 's')"))
+_say("d_drop_fulltext_index", _DDL + "DROP FULLTEXT INDEX a_s; SHOW FULLTEXT INDEXES", _rows('"Index Name", "By", "Columns"'))
+_say("d_show_create_tag", _DDL + "SHOW CREATE TAG a", "SELECT 'a' AS \"Tag\", concat('CREATE TAG `a` (', chr(10), ' `x` int64 NOT NULL DEFAULT 5,', chr(10), ' `s` string NULL', chr(10), ') ttl_duration = 0, ttl_col = \"\"') AS \"Create Tag\"")
+_say("d_show_create_edge", _DDL + "SHOW CREATE EDGE b", "SELECT 'b' AS \"Edge\", concat('CREATE EDGE `b` (', chr(10), ' `w` double NULL', chr(10), ') ttl_duration = 0, ttl_col = \"\"') AS \"Create Edge\"")
+_say("d_show_create_tag_index", _DDL + "SHOW CREATE TAG INDEX a_x", _rows('"Index", "Create Index"', "('a_x', 'CREATE TAG INDEX `a_x` ON `a` (x)')"))
+_say("d_show_create_edge_index", _DDL + "SHOW CREATE EDGE INDEX b_w", _rows('"Index", "Create Index"', "('b_w', 'CREATE EDGE INDEX `b_w` ON `b` (w)')"))
+_say("d_describe_space", _DDL + "DESCRIBE SPACE lab", _rows('"Name", "Vid Type", "Tags", "Edges"', "('lab', 'string', '1', '1')"))
+_say("d_show_spaces", _DDL + "CREATE SPACE IF NOT EXISTS lab(vid_type = int64); CREATE SPACE other(vid_type = int64); DROP SPACE other; SHOW SPACES", _rows('"Name"', "('lab')", "('trade')"))
+_say("d_alter_space", _DDL + "ALTER SPACE lab partition_num = 7; SHOW CREATE SPACE lab", _rows('"Space", "Create Space"', "('lab', 'CREATE SPACE `lab` (vid_type = FIXED_STRING(16), partition_num = 7)')"))
+_say("d_clear_space", _DDL + 'INSERT VERTEX a(x, s) VALUES "v": (1, "t"); CLEAR SPACE lab; LOOKUP ON a YIELD a.x AS x', "SELECT CAST(1 AS BIGINT) AS x WHERE false")
+_say("d_show_charset", "SHOW CHARSET", _rows('"Charset", "Description", "Default collation", "Maxlen"', "('utf8', 'UTF-8 Unicode', 'utf8_bin', '4')"))
+_say("d_show_collation", "SHOW COLLATION", _rows('"Collation", "Charset"', "('utf8_bin', 'utf8')"))
+_say("d_show_stats_of_space", _DDL + 'INSERT VERTEX a(x, s) VALUES "v": (1, "t"), "w": (2, "u"); INSERT EDGE b(w) VALUES "v" -> "w": (1.5); SHOW STATS', _rows('"Type", "Name", "Count"', "('Tag', 'a', CAST(2 AS BIGINT))", "('Edge', 'b', 1)", "('Space', 'vertices', 2)", "('Space', 'edges', 1)"))
+_say("s7_es_query", _DDL + 'INSERT VERTEX a(x, s) VALUES "v": (1, "red fox"), "w": (2, "blue fox"), "y": (3, "red hen"); LOOKUP ON a WHERE ES_QUERY(a_s, "red") YIELD id(vertex) AS id, score() > 0 AS scored', _rows("id, scored", "('v', true)", "('y', true)"))

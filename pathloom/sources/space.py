@@ -190,3 +190,12 @@ class Space:
         empty = F.create_map().cast("map<string,map<string,string>>")
         joined = rows.join(full, rows[vid] == full["__v"], "left")
         return joined.withColumn(out, F.struct(F.col(vid).alias("_vid"), F.coalesce("__tags", empty).alias("_tags"))).drop("__v", "__tags")
+
+    def path_values(self, paths: DataFrame, nodes: str = "_nodes") -> DataFrame:
+        """Paths whose nodes are whole vertices instead of ids, in the same order. A path's rows meet by the path itself."""
+        keys = [c for c in paths.columns if c != nodes]
+        long = paths.select(F.struct(nodes, *keys).alias("__k"), F.posexplode(nodes).alias("__at", "__id"))
+        full = self.vertex_values(long, "__id", "__w")
+        by_place = F.array_sort(F.collect_list(F.struct("__at", "__w")), lambda a, b: a["__at"] - b["__at"])
+        out = full.groupBy("__k").agg(F.transform(by_place, lambda x: x["__w"]).alias("__nodes"))
+        return out.select(*(F.col(f"__k.`{c}`").alias(c) for c in keys), F.col("__nodes").alias(nodes))

@@ -91,12 +91,17 @@ def kind_of_value(value: object) -> str:
 
 
 def text_of(x: Typed) -> Column:
-    """Text of a scalar; floats always show a decimal point or exponent."""
+    """Text of a scalar; floats always show a decimal point or exponent, times nine digits of a second."""
     if x.kind == "float":
         s = x.col.cast("double").cast("string")
         return s
     if x.kind == "list":
         return F.concat(F.lit("["), F.array_join(x.col.cast("array<string>"), ", "), F.lit("]"))
+    if x.kind == "time":
+        s = x.col.cast("string")
+        return F.rpad(F.when(F.instr(s, ".") > 0, s).otherwise(F.concat(s, F.lit("."))), 18, "0")
+    if x.kind == "datetime":
+        return F.date_format(x.col, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'000'")
     return x.col.cast("string")
 
 

@@ -99,3 +99,44 @@ def test_neighbour_limits(spark):
     _, g = make(spark, 9)
     rows = traverse.get_neighbors(g.edge_view(), ids(spark, 0, 1, 2, 3), per_vertex_limit=1)
     assert max((r["count"] for r in rows.groupBy("_from").count().collect()), default=0) <= 1
+
+
+def test_listed_ids_reach_the_scan(spark, tmp_path):
+    """Start ids of a statement are pushed into the files of an edge or tag table."""
+    from pathloom.plans.session import Session
+
+    spark.createDataFrame([(k, k + 1, float(k)) for k in range(50)], "_src long, _dst long, w double").write.parquet(str(tmp_path / "e"))
+    spark.createDataFrame([(k, k % 3) for k in range(50)], "_vid long, n long").write.parquet(str(tmp_path / "t"))
+    space = Space(spark, "g", "int64").with_edge("e", spark.read.parquet(str(tmp_path / "e"))).with_tag("t", spark.read.parquet(str(tmp_path / "t")))
+    s = Session(spark, space)
+    for text, pushed, want in (
+        ("GO FROM 3, 9 OVER e YIELD dst(edge) AS d, e.w AS w", "In(_src, [3,9])", [(4, 3.0), (10, 9.0)]), ("GO 2 STEPS FROM 3 OVER e YIELD dst(edge) AS d", "EqualTo(_src,3)", [(5,)]),
+        ("FETCH PROP ON t 4, 5 YIELD t.n AS n", "In(_vid, [4,5])", [(1,), (2,)]), ("FETCH PROP ON e 7 -> 8 YIELD e.w AS w", "EqualTo(_src,7)", [(7.0,)]),
+    ):
+        df = s.execute(text)
+        plan = df._jdf.queryExecution().toString()
+        assert "PushedFilters: [" in plan and (pushed in plan or pushed.replace("EqualTo", "In").replace(",", ", [", 1).replace(")", "])") in plan), plan[-1500:]
+        assert sorted(tuple(r) for r in df.collect()) == want
+
+
+def test_patterns_end_at_vertices_unless_declared(spark):
+    from pathloom.plans.session import Session
+
+    v = spark.createDataFrame([(1,), (2,)], "_vid long")
+    e = spark.createDataFrame([(1, 2), (1, 9), (8, 2)], "_src long, _dst long")
+    space = Space(spark, "g", "int64").with_tag("t", v).with_edge("e", e)
+    text = "MATCH (a)-[x:e]->(b) RETURN src(x) AS s, dst(x) AS d"
+    assert sorted(map(tuple, Session(spark, space).execute(text).collect())) == [(1, 2)]
+    assert len(Session(spark, space.closed()).execute(text).collect()) == 3
+    assert len(Session(spark, space.closed()).execute("INSERT EDGE e() VALUES 2 -> 7: (); " + text).collect()) == 1
+    with pytest.raises(SemanticError):
+        Session(spark, space).execute("ALTER SPACE g vid_type = int64")
+
+
+def test_a_cut_is_written_once_and_keeps_odd_types(spark):
+    from pathloom.runtime import cut
+
+    df = spark.range(5).selectExpr("id", "array(struct(id as x, map('k', id) as m)) as s")
+    assert sorted(map(str, cut(df).collect())) == sorted(map(str, df.collect()))
+    odd = df.selectExpr("id", "null as nothing")
+    assert cut(odd).count() == 5 and cut(df.limit(0)).isEmpty()

@@ -10,7 +10,7 @@ from tests import brute
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
-SOME = ["flagship_go_parts_by_brand", "s2_scan_edges", "s7_fulltext_scan", "t3_expand_all_m_to_n", "t7_match_variable_length", "t9_traverse_filters", "p7_pattern_anti", "a1_group_by", "j3_optional_match", "u3_intersect_keeps_duplicates", "f_numbers", "f_strings", "m3_update_vertex"]
+SOME = ["flagship_go_parts_by_brand", "s2_scan_edges", "s7_fulltext_scan", "t3_expand_all_m_to_n", "t7_match_variable_length", "t9_traverse_filters", "p7_pattern_anti", "a1_group_by", "j3_optional_match", "u3_intersect_keeps_duplicates", "f_numbers", "f_strings", "m3_update_vertex", "t10_dangling_edges", "t7_twelve_hops", "t12_single_shortest_path", "t16_path_with_properties", "t17_subgraph_both", "e9_typed_properties", "u4_minus_keeps_duplicates", "f_path_values", "px_null_empty_casts", "s7_es_query", "d_alter_space", "e7_neighbor_sample_checked"]
 
 
 def plain(rows, columns):
