@@ -428,18 +428,32 @@ def _shortest(st: State, p: Pattern, aliases: list[str], conds: list[Expr]) -> N
     if len(p.edges) != 1:
         raise SemanticError("a shortest path pattern has one edge")
     e = p.edges[0]
+    sides, before = [], st.df
+    apart = aliases[0] != aliases[1] and not any(a in st.kinds for a in aliases)
     for n, alias in zip(p.nodes, aliases, strict=True):
+        if apart:
+            # both ends are new: each is found by itself, and only pairs with a path between them ever meet
+            st.df = None
         if alias in st.kinds:
             _bound_node(st, n, alias, conds, again=True)
         else:
             _start(st, n, alias, conds)
+        sides.append(st.df)
+        if apart:
+            del st.kinds[alias]
+    for alias in aliases:
+        st.kinds[alias] = "node"
     types = st.space.edge_types(e.types)
     view = st.space.edge_view(types, e.direction, [])
     least, most = (e.least, e.most if e.most is not None else OPEN_END) if e.variable else (1, 1)
-    found = paths.shortest_paths(view, st.df, st.df, most, aliases[0], aliases[1], single=p.shortest == "single", least=max(least, 1))
+    found = paths.shortest_paths(view, sides[0] if apart else st.df, sides[1] if apart else st.df, most, aliases[0], aliases[1], single=p.shortest == "single", least=max(least, 1))
     out = p.alias or st.fresh("p")
     found = found.select(F.col("_start").alias("__a"), F.col("_end").alias("__b"), F.struct(F.transform("_nodes", lambda v: F.struct(v.alias("_vid"))).alias("_nodes"), F.col("_rels")).alias(out))
-    st.df = st.df.join(found, (F.col(f"`{aliases[0]}`") == F.col("__a")) & (F.col(f"`{aliases[1]}`") == F.col("__b"))).drop("__a", "__b")
+    if apart:
+        pairs = sides[0].join(found, F.col(f"`{aliases[0]}`") == F.col("__a")).join(sides[1], F.col(f"`{aliases[1]}`") == F.col("__b")).drop("__a", "__b")
+        st.df = pairs if before is None else joins.cross(before, pairs)
+    else:
+        st.df = st.df.join(found, (F.col(f"`{aliases[0]}`") == F.col("__a")) & (F.col(f"`{aliases[1]}`") == F.col("__b"))).drop("__a", "__b")
     st.kinds[out] = "path"
     if e.alias:
         st.df = st.df.withColumn(e.alias, F.col(f"`{out}`")["_rels"])
