@@ -52,3 +52,11 @@ def rollup_apply(rows: DataFrame, matches: DataFrame, value: str, name: str) ->
     out = join(rows, lists, [(c, c) for c in shared], "left") if shared else rows.crossJoin(lists)
     kind = lists.schema[name].dataType
     return out.withColumn(name, F.coalesce(F.col(name), F.array().cast(kind)))
+
+
+def rollup_count(rows: DataFrame, matches: DataFrame, name: str) -> DataFrame:
+    """All rows with the number of their matches: what the size of ``rollup_apply``'s list would be, without the list."""
+    shared = [c for c in rows.columns if c in matches.columns]
+    counts = matches.groupBy(*shared).agg(F.count("*").alias(name)) if shared else matches.agg(F.count("*").alias(name))
+    out = join(rows, counts, [(c, c) for c in shared], "left") if shared else rows.crossJoin(counts)
+    return out.withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("long")))

@@ -7,6 +7,7 @@ returned, and conditions on one variable are applied where that variable is boun
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -110,6 +111,8 @@ def scope(st: State) -> Scope:
         if e.op == "call" and e.args[0].lower() == "id" and e.args[1] and e.args[1][0].op == "name" and st.kinds.get(e.args[1][0].args[0]) == "node":
             v = e.args[1][0].args[0]
             return Typed(F.col(f"`{v}`"), *V.kind_of(types[v]))
+        if _is_size_of_pattern(e) and f"__count_{_pattern_key(e.args[1][0].args[0])}" in types:
+            return Typed(F.col(f"`__count_{_pattern_key(e.args[1][0].args[0])}`"), "int")
         if e.op == "pattern":
             name = f"__roll_{_pattern_key(e.args[0])}"
             if name in types:
@@ -119,6 +122,10 @@ def scope(st: State) -> Scope:
     return Scope(names, special, st.session.parameters)
 
 
+def _is_size_of_pattern(e: Expr) -> bool:
+    return e.op == "call" and e.args[0].lower() == "size" and len(e.args[1]) == 1 and e.args[1][0].op == "pattern"
+
+
 def _pattern_key(p: Pattern) -> str:
     import hashlib
 
@@ -130,6 +137,7 @@ def prepare(st: State, exprs: list[Expr]) -> None:
     wanted: dict[tuple[str, str], set[str]] = {}
     whole: set[str] = set()
     patterns: dict[str, Pattern] = {}
+    uses: Counter = Counter()
     for root in exprs:
         if root.op == "name" and st.kinds.get(root.args[0]) == "node":
             whole.add(root.args[0])
@@ -142,6 +150,9 @@ def prepare(st: State, exprs: list[Expr]) -> None:
                 whole.add(e.args[1][0].args[0])
             if e.op == "pattern":
                 patterns[_pattern_key(e.args[0])] = e.args[0]
+                uses[_pattern_key(e.args[0])] += 1
+            if _is_size_of_pattern(e):
+                uses[_pattern_key(e.args[1][0].args[0])] -= 1
     for (v, tag), props in wanted.items():
         need = {p: f"__p_{v}_{tag}_{p}" for p in sorted(props) if f"__p_{v}_{tag}_{p}" not in st.df.columns}
         if need:
@@ -150,7 +161,12 @@ def prepare(st: State, exprs: list[Expr]) -> None:
         if f"__w_{v}" not in st.df.columns:
             st.df = st.space.vertex_values(st.df, v, f"__w_{v}").withColumn(f"__w_{v}", F.when(F.col(f"`{v}`").isNotNull(), F.col(f"`__w_{v}`")))
     for key, p in patterns.items():
-        if f"__roll_{key}" not in st.df.columns:
+        if not uses[key]:
+            # only the number of matches is asked for: they are counted and never listed
+            if f"__count_{key}" not in st.df.columns:
+                matches, shared = _pattern_matches(st, p)
+                st.df = joins.rollup_count(st.df, matches.select(*shared) if shared else matches.select(F.lit(1).alias("__one")), f"__count_{key}")
+        elif f"__roll_{key}" not in st.df.columns:
             matches, shared = _pattern_matches(st, p, with_path=True)
             st.df = joins.rollup_apply(st.df, matches.select(*shared, "__path"), "__path", f"__roll_{key}")
 

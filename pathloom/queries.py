@@ -565,6 +565,7 @@ _say(
     "SELECT p_partkey*10+4 AS id, p_size <= 25 AS a, p_size > 25 AS b, false AS c, true AS d, CAST(17 + p_size AS BIGINT) AS e, CAST(p_size AS VARCHAR) AS f, p_size / 2.0::DOUBLE AS g, true AS h FROM part",
 )
 _say("t16_path_with_properties", "FIND SHORTEST PATH WITH PROP FROM 2 TO 0, 10, 20, 30, 40 OVER in_nation, in_region UPTO 3 STEPS YIELD path AS p | YIELD length($-.p) AS n, properties(endNode($-.p)).name AS region, properties(nodes($-.p)[1]).name AS nation, properties(startNode($-.p)).segment AS segment", "SELECT CAST(2 AS BIGINT) AS n, r_name AS region, n_name AS nation, c_mktsegment AS segment FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_custkey = 0")
+_say("p9_rollup_list", "MATCH (n:nation) WHERE size((n)-[:in_region]->()) == 1 RETURN n.nation.name AS name, size([x IN (n)-[:in_region]->() | length(x)]) AS n, size((n)<-[:in_region]-()) AS none", "SELECT n_name AS name, CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS none FROM nation")
 _say("p8_pattern_without_shared_names", "MATCH (r:region) WHERE (:nation)-[:in_region]->(:region) RETURN id(r) AS id", "SELECT CAST(r_regionkey AS BIGINT)*10 AS id FROM region")
 _say("a14_key_or_last", "LOOKUP ON nation YIELD nation.name AS n | GROUP BY $-.n YIELD $-.n AS n, upper($-.n) AS u, count(*) AS k", "SELECT n_name AS n, upper(n_name) AS u, count(*) AS k FROM nation GROUP BY 1")
 _say("j8_join_key_of_vertices", "MATCH (c:customer)-[:in_nation]->(n) WHERE c.customer.acctbal > 9900 MATCH (n)-[:in_region]->(r) RETURN id(c) AS c, id(r) AS r", "SELECT c_custkey*10+2 AS c, CAST(n_regionkey AS BIGINT)*10 AS r FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 9900")
