@@ -116,6 +116,30 @@ def test_plan_follows_the_size_of_the_table():
     assert work[3] / work[2] < 0.6 * (100 * 100)  # grows below the square
 
 
+def test_plan_counts_copies_of_vectors_that_are_no_pivots():
+    """Vectors without groups: cells save nothing, however many vectors there are; pivots themselves look as if they did."""
+    rng = np.random.default_rng(8)
+    v = metric.unit([x.tobytes() for x in rng.normal(size=(9000, 64))], 64)
+    cells, copies, share = metric.plan(v[:8192], 205_128, 0.3162277670)
+    really = cells.near(v[8192:])[1]
+    assert copies > 0.9 * really.sum(1).mean() and share > 0.9 * really.mean()
+    assert really.sum(1).mean() < 40
+
+
+def test_any_two_blocks_that_may_link_meet_once():
+    rng = np.random.default_rng(2)
+    v = metric.unit([x.tobytes() for x in rng.normal(size=(400, 3))], 3)
+    cells = metric.Cells(metric.means(v, 12), 0.3162277670)
+    home, far = cells.home(v)
+    cells.bound({int(j): float(far[home == j].max()) for j in np.unique(home)})
+    blocks = [(int(c), s, "f", 0, 9 + s) for c in np.unique(home) for s in range(3)]
+    meetings = metric.Meetings(cells, blocks, 25)
+    met = [(k, int(m)) for u in range(len(meetings)) for k, others in [meetings.unit(u)] for m in others]
+    assert len(met) == len(set(met)) and all(k <= m for k, m in met) and len(met) < len(blocks) * (len(blocks) + 1) // 2
+    near = {(int(home[i]), int(home[j])) for i, j in zip(*np.nonzero(v @ v.T >= 0.95), strict=True)}
+    assert all(((blocks[k][0], blocks[m][0]) not in near) or (k, m) in set(met) for k in range(len(blocks)) for m in range(k, len(blocks)))
+
+
 @pytest.mark.parametrize("block", [16, 4096])
 def test_metric_join_against_all_pairs(spark, block):
     rng = np.random.default_rng(5)
