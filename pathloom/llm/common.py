@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
@@ -59,10 +61,21 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
     global _HELD
     if _HELD[0] != key:
         _HELD = (None, None)  # freed before the next is made
+        give_back()
         _HELD = (key, make())
     return _HELD[1]
 
 
+def give_back() -> None:
+    """Return the memory that earlier tasks of this worker freed to the system; allocators keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of an id written as text, modulo ``modulus``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

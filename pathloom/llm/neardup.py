@@ -203,16 +203,17 @@ def _links_of(own: list[tuple], other: list[tuple], per_cent: int) -> list[tuple
     """Links ``(id, id)`` between different components: one for each own member and component it is linked with."""
     out = []
     x, y = [np.frombuffer(r[2], np.uint64) for r in own], [np.frombuffer(r[2], np.uint64) for r in other]
-    both = overlaps(x, y).astype(np.int64)
+    both = overlaps(x, y)
     nx, ny = np.array([len(v) for v in x]), np.array([len(v) for v in y])
     names: dict = {}
     cx = np.array([names.setdefault(r[1], len(names)) for r in own])
     cy = np.array([names.setdefault(r[1], len(names)) for r in other])
-    linked = (100 * both >= per_cent * (nx[:, None] + ny[None, :] - both)) & (cx[:, None] != cy[None, :])
-    for k in np.flatnonzero(linked.any(1)):
-        at = np.flatnonzero(linked[k])
-        _, first = np.unique(cy[at], return_index=True)
-        out += [(own[k][0], other[at[f]][0]) for f in first]
+    for k in range(len(own)):
+        row = both[k].astype(np.int64)
+        at = np.flatnonzero((100 * row >= per_cent * (nx[k] + ny - row)) & (cx[k] != cy))
+        if len(at):
+            _, first = np.unique(cy[at], return_index=True)
+            out += [(own[k][0], other[at[f]][0]) for f in first]
     return out
 
 

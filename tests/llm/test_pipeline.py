@@ -70,3 +70,26 @@ def test_stages_with_odd_rows(spark):
         assert stage(spark, docs.limit(0), folder).count() == 0, name
     spark.createDataFrame([], "item_id long, text string").write.mode("overwrite").parquet(f"{folder}/benchmark.parquet")
     assert stages["benchmark decontamination"](spark, docs, folder).count() == len(rows)
+
+
+def test_a_worker_gives_the_memory_of_the_last_operator_back():
+    """Also where something that lives on lies above it in the heap."""
+    import re
+
+    from pathloom.llm.common import held
+
+    def mb():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    last = []
+
+    def make():
+        out = [bytes(2000) for _ in range(50_000)]
+        last.append(bytes(2000))
+        return out
+
+    before = mb()
+    held("one operator", make)
+    full = mb()
+    held("another operator", dict)
+    assert full - before > 80 and mb() - before < 30
