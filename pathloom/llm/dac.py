@@ -8,7 +8,8 @@ Segment layout, little-endian: magic ``PLDC``, u8 version, u8 bits, u16 levels,
 the chunks (``bits`` 8 or 16: u8 or u16 each), the bitmap (count bits, padded to 64) and the rank directory (u32 each).
 
 A token file is a plain file of segments, one after the other, as they are: any token is reached by seeking. Each task
-writes one file; the catalogue beside the files, a small table, tells file, offset and documents of every segment.
+writes one file; the catalogue beside the files, a small table of few files, tells file, offset and documents of every
+segment.
 """
 
 from __future__ import annotations
@@ -190,7 +191,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
             files.move(draft, where)
 
     ddl = f"part long, file string, segment long, at long, n_ids long, doc_ids array<{kind.simpleString()}>, lengths array<long>"
-    dealt.sortWithinPartitions("id", "text").mapInArrow(run, ddl).write.parquet(f"{top}/catalogue")
+    rows = dealt.sortWithinPartitions("id", "text").mapInArrow(run, ddl)
+    # its few rows go into few files: an executor without Hadoop's native library starts a process for each file it writes
+    rows.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism).write.parquet(f"{top}/catalogue")
 
 
 def starts(catalogue: DataFrame) -> DataFrame:

@@ -103,6 +103,15 @@ def test_files_open_at_any_token(spark, tmp_path):
             assert len(seg) == r["n_ids"] == len(want) and [seg.get(k) for k in range(len(seg))] == want
 
 
+def test_a_catalogue_has_few_files_however_many_ranges(spark, tmp_path):
+    rows = [(k, f"text number {k}") for k in range(200)]
+    dac.write(docs(spark, rows), str(tmp_path / "ids"), PATH, 1, partitions=60)
+    assert len(list((tmp_path / "ids").glob("part-*.pldc"))) > 40
+    assert len(list((tmp_path / "ids" / "catalogue").glob("part-*.parquet"))) <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted(i for r in dac.catalogue(spark, str(tmp_path / "ids")).collect() for i in r["doc_ids"]) == list(range(200))
+
+
+
 def test_token_file(spark):
     rows = [(30, "last one"), (1, "first text"), (2, None), (7, "x" * 40), (7, "x" * 40), (40, "long " * 60_000), (41, "")]
     got = sorted(tuple(r) for r in dac.write_and_digest(docs(spark, rows), PATH, 1).select("doc_id", "start", "n_tokens", "ids_crc32").collect())
