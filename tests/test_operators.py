@@ -140,3 +140,23 @@ def test_a_cut_is_written_once_and_keeps_odd_types(spark):
     assert sorted(map(str, cut(df).collect())) == sorted(map(str, df.collect()))
     odd = df.selectExpr("id", "null as nothing")
     assert cut(odd).count() == 5 and cut(df.limit(0)).isEmpty()
+
+
+def test_shortest_paths_write_edges_by_blocks_of_sources(spark, monkeypatch):
+    # 70 sources, two full layers of 12, 10 targets: a level by source would hold 70 * 12 * 12 rows
+    a, b, c, d = range(70), range(100, 112), range(200, 212), range(300, 310)
+    pairs = [(x, y) for left, right in ((a, b), (b, c), (c, d)) for x in left for y in right]
+    view = Space(spark, "layers", "int64").with_edge("e", spark.createDataFrame(pairs, "_src long, _dst long")).edge_view()
+    written, cut = [], paths.cut
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(paths, "cut", counted)
+    found = paths.shortest_paths(view, ids(spark, *a), ids(spark, *d))
+    assert found.count() == found.select("_nodes").distinct().count() == 70 * 12 * 12 * 10
+    lengths = paths.shortest_lengths(view, ids(spark, *a), ids(spark, *d))
+    assert sorted(tuple(r) for r in lengths.collect()) == sorted((x, y, 3) for x in a for y in d)
+    assert max(written) <= 70 * 12 + 12 * 12 + 12 * 10
